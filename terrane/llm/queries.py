@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lm, media, packing, tokens_out
+from . import decontam, jaccard, langid, lm, media, packing, tokens_out, urls
 
 
 def vocabulary() -> str:
@@ -31,6 +31,14 @@ def op5_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_read(spark, sf_dir, "pages"))
+
+
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_read(spark, sf_dir, "documents"))
+
+
 def op8_parquet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_out.round_trip(_read(spark, sf_dir, "documents"), vocabulary())
 
@@ -39,9 +47,13 @@ def op9_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"))
 
 
+def op10_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_redirect_equivalence": urls.oracle(), "op10_containment_search": decontam.ORACLE}
