@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, langid, lm, media, packing, suffix, tokens_out, urls
+from . import decontam, html_main, jaccard, langid, lm, media, packing, suffix, tokens_out, urls
 
 
 def vocabulary() -> str:
@@ -27,6 +27,10 @@ def op2_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(_read(spark, sf_dir, "documents"))
 
 
+def op3_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(_read(spark, sf_dir, "pages"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(_read(spark, sf_dir, "documents"))
 
