@@ -1,8 +1,9 @@
 """Byte-level BPE ids by the tokenizers library.
 
-The vocabulary's merges never cross the pieces that its pre-tokenizer splits off, so a piece has the same ids wherever it
-stands.  Pieces repeat; each worker keeps the ids of those that it has met, up to a bound, and asks the library for the rest
-in one call a batch.  Tests compare with the library's ids of whole texts."""
+The pre-tokenizer of this family of vocabularies always cuts before a lone space and around a lone newline, and merges never
+cross a cut, so a word (with the space before it) has the same ids wherever it stands.  Words repeat: each worker keeps the
+ids of those that it has met, up to a bound, and asks the library for a batch's new ones in one call, as lines of one text.
+A text with any other white space, or two in a row, goes to the library whole.  Tests compare with whole texts' ids."""
 
 from __future__ import annotations
 
@@ -10,14 +11,11 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
-import regex
 
-#: The pre-tokenizer's pattern of this family of vocabularies (a fixed value; public_tokenizers.PATTERN states it too).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Control characters that libraries do not agree on as white space; a text with one goes to the library whole.
-_UNSURE = regex.compile("[\x1c-\x1f\x85᠎​]")
-#: Pieces that a worker keeps, and characters to a call.
-KEPT, CALL = 400_000, 1_000_000
+#: Marks that close a word; after a letter or number a run of them is a piece of its own.
+MARKS = ".,;:!?)]}*%#&$\"'"
+#: Words that a worker keeps, and characters to a call.
+KEPT, CALL = 1_200_000, 500_000
 
 
 class Encoder:
@@ -27,23 +25,49 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.dtype = np.dtype(np.uint16 if self.library.get_vocab_size() <= 65536 else np.uint32)
-        self.split, self.known = regex.compile(PATTERN).findall, {}
+        line = self._ids(["\n", "a\n b,\nc."])
+        self.line = np.frombuffer(line[0], self.dtype)
+        self.known = {"\n": line[0]}
+        self.old: dict[str, bytes] = {}
+        # words are taken apart only where the library does so too
+        self.apart = len(self.line) == 1 and line[1] == b"".join(self._ids(["a", "\n", " b", ",", "\n", "c", "."]))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        bare = {}
+        for w in words:
+            base = w.rstrip(MARKS)
+            bare[w] = base if len(base) < len(w) and base and base[-1].isalnum() else w
+        parts = {b for b in bare.values()} | {w[len(b) :] for w, b in bare.items() if w is not b}
+        new = [p for p in parts if p not in self.known]
+        for a in range(0, len(new), 2000):
+            some = new[a : a + 2000]
+            flat = self._ids(["\n".join(some)])[0]
+            cuts = (np.flatnonzero(np.frombuffer(flat, self.dtype) == self.line[0]) * self.dtype.itemsize).tolist()
+            self.known.update(zip(some, (flat[x:y] for x, y in zip([0, *(c + self.dtype.itemsize for c in cuts)], [*cuts, len(flat)], strict=True)), strict=True))
+        self.known.update((w, self.known[b] + self.known[w[len(b) :]]) for w, b in bare.items() if w is not b)
+
     def _call(self, texts: list[str]) -> Iterator[bytes]:
-        pieces = [self.split(t) if not _UNSURE.search(t) else None for t in texts]
-        met = set()
-        for p in pieces:
-            met.update(p or ())
-        if len(self.known) > KEPT:
-            self.known.clear()
-        new = list(met - self.known.keys())
-        self.known.update(zip(new, self._ids(new), strict=True))
-        ids = self.known.__getitem__
-        for t, p in zip(texts, pieces, strict=True):
-            yield self._ids([t])[0] if p is None else b"".join(map(ids, p))
+        if len(self.known) > KEPT // 2:  # words not met again while another half fills are forgotten
+            self.old, self.known = self.known, {"\n": self.line.tobytes()}
+        words = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if self.apart and "\0" not in t else [""] for t in texts]
+        ids = [list(map(self.known.get, w)) for w in words]
+        missing = [[k for k, x in enumerate(i) if x is None] if None in i else () for i in ids]
+        new = {w[k] for w, m in zip(words, missing, strict=True) for k in m}
+        # two spaces or lines in a row leave a word that is empty or a space; other white space and controls do not print
+        odd = {w for w in new if w in ("", " ") or not w.isprintable()}
+        again = {w: self.old[w] for w in new if w in self.old}
+        self.known.update(again)
+        self._learn(list(new - odd - again.keys()))
+        for t, w, i, m in zip(texts, words, ids, missing, strict=True):
+            if m and odd and any(w[k] in odd for k in m):
+                yield self._ids([t])[0]
+            else:
+                for k in m:
+                    i[k] = self.known[w[k]]
+                yield b"".join(i)
 
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""

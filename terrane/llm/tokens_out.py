@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,16 +30,19 @@ FILE = "part int, doc_id {}, before long, n_tokens long, tokens array<int>"
 
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, before = encoder(path), TaskContext.get().partitionId(), 0
+        enc, last, before = encoder(path), None, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 ids = [np.append(x, enc.dtype.type(end)) for x in enc.encode(some["text"].to_pylist())]
                 n = np.array([len(x) for x in ids], np.int64)
-                start = before + np.cumsum(n) - n
-                before += int(n.sum())
+                start, parts = np.empty(len(n), np.int64), some["part"].to_numpy()
+                for i, (p, k) in enumerate(zip(parts.tolist(), n.tolist(), strict=True)):
+                    before = before if p == last else 0  # a task may hold several ranges, one after the other
+                    start[i], last = before, p
+                    before += k
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(np.concatenate(ids).astype(np.int32)))
-                yield pa.record_batch({"part": np.full(len(n), part, np.int32), "doc_id": some["doc_id"], "before": start, "n_tokens": n, "tokens": lists})
+                yield pa.record_batch({"part": parts, "doc_id": some["doc_id"], "before": start, "n_tokens": n, "tokens": lists})
 
     return run
 
@@ -49,8 +51,10 @@ def write(df: DataFrame, vocabulary: str, path: str, end: int = 2, encoding: str
     """Write the ids of all documents in ascending doc_id order."""
     docs = C.documents(df, id_col, text_col).withColumns({"size": F.octet_length("text"), "hash": F.xxhash64("text")})
     parts = max(1, C.unit_count(docs))
-    keys = ["doc_id", "size", "hash"]
-    dealt = docs.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
+    # ranges from the ids alone: repartitionByRange would read and hash every text once more to sample them
+    edges = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("e")).first()["e"] if parts > 1 else None
+    at = sum((F.coalesce(F.col("doc_id") >= x, F.lit(False)).cast("int") for x in sorted(set(edges or []))), F.lit(0)) if len(edges or []) <= 64 else F.coalesce(F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e <= F.col("doc_id"))), F.lit(0))
+    dealt = docs.withColumn("part", at).repartition(parts, "part").sortWithinPartitions("part", "doc_id", "size", "hash").select("part", "doc_id", "text")
     options = ENCODINGS[encoding] | {"compression": "zstd", "parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes), "parquet.page.row.count.limit": "2000"}
     spark, before = df.sparkSession, df.sparkSession.conf.get(C._CLEANUP, "false")
     spark.conf.set(C._CLEANUP, "true")
@@ -68,11 +72,15 @@ def read(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
     return files.join(F.broadcast(at), "part").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "tokens")
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch["tokens"]
-        flat, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
-        yield pa.record_batch({"doc_id": batch["doc_id"], "start": batch["start"], "n_tokens": np.diff(at).astype(np.int64), "ids_crc32": np.array([zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], np.int64)})
+def _digest(base: dict[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["tokens"]
+            flat, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
+            start = batch["before"].to_numpy() + np.array([base[p] for p in batch["part"].to_pylist()], np.int64)
+            yield pa.record_batch({"doc_id": batch["doc_id"], "start": start, "n_tokens": np.diff(at).astype(np.int64), "ids_crc32": np.array([zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], np.int64)})
+
+    return run
 
 
 def round_trip(df: DataFrame, vocabulary: str, end: int = 2, encoding: str = "dictionary") -> DataFrame:
@@ -81,4 +89,6 @@ def round_trip(df: DataFrame, vocabulary: str, end: int = 2, encoding: str = "di
     path = f"{C.shared_dir(spark)}/terrane-tokens-{uuid.uuid4().hex}"
     write(df, vocabulary, path, end, encoding)
     C.atexit.register(C._remove_late, spark, path)
-    return read(spark, path, kind).mapInArrow(_digest, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    files = spark.read.schema(FILE.format(kind)).parquet(path)
+    base = offsets(files.groupBy("part").agg(F.sum("n_tokens").alias("n")))
+    return files.mapInArrow(_digest(base), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
