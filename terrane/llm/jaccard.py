@@ -192,9 +192,8 @@ def _compare(n: int, threshold: float, tolerance: float):
     return run
 
 
-def join(df: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-9, block: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id, n_links (other documents at or over the threshold), n_texts (of these,
-    different sets of n-grams), n_copies (other documents with the same set), digest."""
+def _classes(df: DataFrame, threshold: float, n: int, tolerance: float, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, hash of the text) of each row; (digest, copies, texts, docs, first, class_first) of each set of n-grams."""
     docs = C.documents(df, id_col, text_col).withColumn("hash", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     seen = C.Table(docs.mapInArrow(_describe(n), f"doc_id {kind}, digest binary, hash long, bands array<long>"), "sets")
@@ -219,14 +218,35 @@ def join(df: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1
     # within one block pair a root is final only if the neighbourhood has no other block; so roots are joined up
     roots = components(found.df.select(F.col("digest").alias("u"), F.col("root").alias("v")))
     links = found.df.groupBy("digest").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
-    info = texts.df.select("digest", "copies", F.col("first.doc_id").alias("least_id")).join(roots.select(F.col("node").alias("digest"), "component"), "digest", "left").join(links, "digest", "left")
+    info = texts.df.select("digest", "copies", "first").join(roots.select(F.col("node").alias("digest"), "component"), "digest", "left").join(links, "digest", "left")
     info = info.withColumn("class", F.coalesce("component", "digest"))
-    named = C.Table(info.join(info.groupBy("class").agg(F.min("least_id").alias("class_id")), "class").select("digest", "copies", "texts", "docs", "class_id"), "classes")
-    return seen.df.select("doc_id", "digest").join(named.df, "digest", "left").select(
+    named = C.Table(info.join(info.groupBy("class").agg(F.min("first").alias("class_first")), "class").select("digest", "copies", "texts", "docs", "first", "class_first"), "classes")
+    for t in (texts, members, found):
+        t.drop()
+    return seen.df.select("doc_id", "digest", "hash"), named.df
+
+
+def join(df: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-9, block: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, class_id, n_links (other documents at or over the threshold), n_texts (of these,
+    different sets of n-grams), n_copies (other documents with the same set), digest."""
+    seen, named = _classes(df, threshold, n, tolerance, block, id_col, text_col)
+    return seen.join(named, "digest", "left").select(
         "doc_id",
-        F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("class_first.doc_id")).alias("class_id"),
         (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"),
         (F.coalesce("copies", F.lit(1)) - 1).alias("n_copies"),
         F.lower(F.hex("digest")).alias("digest"),
     )
+
+
+def deduplicate(df: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-9, block: int = 1000) -> DataFrame:
+    """The rows of df, one of each class (the least doc_id; of equal ids the least hash of the text) and every row without
+    n-grams; rows that agree in id and text are one."""
+    seen, named = _classes(df, threshold, n, tolerance, block, "doc_id", "text")
+    kept = named.select("class_first.*").union(seen.where("digest is null").select("doc_id", "hash")).distinct()
+    kept = C.Table(kept.select(F.col("doc_id").alias("__d"), F.col("hash").alias("__h")), "kept").df
+    twice = seen.groupBy("doc_id", "hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    rows = df.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
+    one = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__own") == F.col("__h")), "left_semi")
+    return (one.dropDuplicates(["doc_id", "__own"]) if twice else one).select(*df.columns)

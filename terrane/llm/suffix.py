@@ -333,9 +333,11 @@ def remove(df: DataFrame, length: int = 400, gram: int = 200) -> DataFrame:
     """df with text cut: all its columns, in order.  A character that a removed run cuts in two goes with it; a null text
     stays null."""
 
+    names = list(df.columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [None if t is None else (t if not s else _keep(memoryview(t.encode()), [(x["start"], x["end"]) for x in s])[1].decode("utf-8", "ignore")) for t, s in zip(batch["text"].to_pylist(), batch["__spans"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch[c] for c in df.columns], names=df.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch[c] for c in names], names=names)
 
     return _joined(df, length, gram).mapInArrow(run, df.schema)
