@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Bytes hashed at a time.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 _ODD = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D))
 _TABLE = [C.mix(np.arange(256, dtype=np.uint64) + np.uint64(1000 * s + 1)) for s in (1, 2)]
 
@@ -128,45 +128,62 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
-def order(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, groups: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash-compared suffix sort: the order of the suffixes within their groups, and each one's common extension with its
-    predecessor (-1 at a group's first)."""
-    prefix, n = Prefix(data), len(starts)
+def prefix_hashes(rows: np.ndarray) -> np.ndarray:
+    """For each row of bytes the polynomial hashes of its prefixes, of length 0 and up; comparable between rows."""
+    n, width = rows.shape
+    power = _powers(0, 1 << max(10, width.bit_length()))[0][:width]
+    out = np.zeros((n, width + 1), np.uint64)
+    for a in range(0, n, 4096):
+        np.cumsum(_TABLE[0][rows[a : a + 4096]] * power, axis=1, out=out[a : a + 4096, 1:])
+    return out
+
+
+def order(rows: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash-compared suffix sort of rows of bytes (padded to one width): their order within their groups, and each one's
+    common extension with its predecessor (-1 at a group's first)."""
+    hashes, n, width = prefix_hashes(rows), len(sizes), rows.shape[1]
 
     def extension(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         lo, hi = np.zeros(len(i), np.int64), np.minimum(sizes[i], sizes[j])
-        for _ in range(int(longest).bit_length() + 1):
-            mid = (lo + hi + 1) >> 1
-            same = prefix.of(starts[i], mid) == prefix.of(starts[j], mid)
-            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+        for _ in range(width.bit_length() + 1):
             if (lo >= hi).all():
                 break
+            mid = (lo + hi + 1) >> 1
+            same = hashes[i, mid] == hashes[j, mid]
+            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
         return lo
 
     def before(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Is suffix i less than suffix j."""
         e = extension(i, j)
-        end_i, end_j = e >= sizes[i], e >= sizes[j]
-        x, y = (data[np.minimum(starts[k] + e, len(data) - 1)] for k in (i, j))
-        less = np.where(end_i, ~end_j, ~end_j & (x < y))
-        return np.where(groups[i] != groups[j], groups[i] < groups[j], less)
+        at = np.minimum(e, width - 1)
+        return np.where(e >= sizes[i], e < sizes[j], (e < sizes[j]) & (rows[i, at] < rows[j, at]))
 
     out, run = np.argsort(groups, kind="stable"), 1
-    while run < n:  # all pairs of neighbouring runs at once: an element's place is its own plus its rank in the other run
-        place = np.arange(n)
-        mine, other = place // run * run, (place // run ^ 1) * run
-        lo, hi = np.minimum(other, n), np.minimum(other + run, n)
-        right = (place // run) % 2 == 1
+    _, first, size = np.unique(groups[out], return_index=True, return_counts=True)
+    first, size = np.repeat(first, size), np.repeat(size, size)  # of each place's group
+    while run < n:
+        # all pairs of neighbouring runs of all groups at once: an element's new place is its own plus its rank in the other
+        place = np.flatnonzero(size > run)
+        if not len(place):
+            break
+        start, end = first[place], first[place] + size[place]
+        number = (place - start) // run
+        mine, other = start + number * run, start + (number ^ 1) * run
+        low = np.minimum(other, end)
+        lo, hi, right = low.copy(), np.minimum(other + run, end), number % 2 == 1
         while True:
-            live = lo < hi
-            if not live.any():
+            k = np.flatnonzero(lo < hi)
+            if not len(k):
                 break
-            k, mid = np.flatnonzero(live), ((lo + hi) >> 1)[live]
-            a, b = out[k], out[mid]
-            up = np.where(right[k], ~before(a, b), before(b, a))  # ties: the left run's first
+            mid = (lo[k] + hi[k]) >> 1
+            x, y = out[place[k]], out[mid]
+            up = np.empty(len(k), bool)  # ties: the left run's first
+            r = right[k]
+            up[r], up[~r] = ~before(x[r], y[r]), before(y[~r], x[~r])
             lo[k], hi[k] = np.where(up, mid + 1, lo[k]), np.where(up, hi[k], mid)
-        new = np.empty(n, np.int64)
-        new[np.minimum(mine, other) + (place - mine) + (lo - np.minimum(other, n))] = out
+        new = out.copy()
+        new[np.minimum(mine, other) + (place - mine) + (lo - low)] = out[place]
         out, run = new, 2 * run
     common = np.full(n, -1, np.int64)
     if n > 1:
@@ -175,52 +192,68 @@ def order(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, groups: np.nd
     return out, common
 
 
-def verified_order(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, groups: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+def verified_order(rows: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """order(), its extensions checked on the bytes; a hash collision means sorting by the bytes themselves."""
-    out, common = order(data, starts, sizes, groups, longest)
-    for a in range(1, len(out), 4096):
-        i, j, c = out[a - 1 : a + 4095][: len(out[a : a + 4096])], out[a : a + 4096], common[a : a + 4096]
-        at = np.arange(longest)
-        x, y = (data[np.minimum(starts[k][:, None] + at, len(data) - 1)] for k in (i, j))
-        short = np.minimum(sizes[i], sizes[j])
-        differ = (x != y) | (at >= short[:, None])
-        true = np.where(differ.any(1), differ.argmax(1), longest)
-        if (true != c)[c >= 0].any():
-            raw = data.tobytes()
-            out = np.array(sorted(range(len(starts)), key=lambda k: (groups[k], raw[starts[k] : starts[k] + sizes[k]])), np.int64)
-            for q in range(len(out)):
-                i, j = out[q - 1], out[q]
-                common[q] = -1
-                if q and groups[i] == groups[j]:
-                    m = int(min(sizes[i], sizes[j]))
-                    d = np.flatnonzero(data[starts[i] : starts[i] + m] != data[starts[j] : starts[j] + m])
-                    common[q] = d[0] if len(d) else m
+    out, common = order(rows, sizes, groups)
+    for _ in range(2):
+        true = np.full(len(out), -1, np.int64)
+        for a in range(1, len(out), 4096):
+            i, j = out[a - 1 : a + 4095][: len(out[a : a + 4096])], out[a : a + 4096]
+            differ = rows[i] != rows[j]
+            first = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+            true[a : a + 4096] = np.where(groups[i] == groups[j], np.minimum(first, np.minimum(sizes[i], sizes[j])), -1)
+        if (true == common).all():
             break
-    return out, common
+        out = np.array(sorted(range(len(sizes)), key=lambda k: (groups[k], rows[k, : sizes[k]].tobytes())), np.int64)
+        common = true  # of the old order: the second pass sets it right
+    return out, true
+
+
+def _padded(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(p) for p in parts], np.int64)
+    return np.frombuffer(b"".join(p.ljust(width, b"\0") for p in parts), np.uint8).reshape(-1, width), sizes
 
 
 def repeated_windows(texts: list[bytes], left: np.ndarray, groups: np.ndarray, length: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """For each text, with its anchor `left` bytes in: the least and most bytes before the anchor with which a window through
     it equals another text's of the group (-1: none does).  All windows hold the anchor, so what they cover is one run."""
     n = len(texts)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    flat = np.frombuffer(b"".join(texts), np.uint8)
-    first = np.cumsum(sizes) - sizes
-    right = sizes - left
-    r_order, r_common = verified_order(flat, first + left, right, groups, length)
-    back = flat[::-1]
-    l_order, l_common = verified_order(np.ascontiguousarray(back), len(flat) - first - left, left, groups, max(1, reach))
+    cut = left.tolist()
+    rows, right = _padded([t[k : k + length] for t, k in zip(texts, cut, strict=True)], length)
+    r_order, r_common = verified_order(rows, right, groups)
+    rows, _ = _padded([t[:k][::-1] for t, k in zip(texts, cut, strict=True)], max(1, reach))
+    l_order, l_common = verified_order(rows, left, groups)
+    del rows
     low, high = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-    r_class, l_class = np.empty(n, np.int64), np.empty(n, np.int64)
-    for a in range(reach + 1):
-        able = (left >= a) & (right >= length - a)
-        r_class[r_order] = np.cumsum(r_common < length - a)
-        l_class[l_order] = np.cumsum(l_common < a)
-        code = (r_class * (n + 1) + l_class)[able]
-        _, inv, count = np.unique(code, return_inverse=True, return_counts=True)
-        rows = np.flatnonzero(able)[count[inv] > 1]
-        high[rows] = a
-        low[rows[low[rows] < 0]] = a
+    count = np.bincount(groups)[groups]
+    # of two texts the windows that fit into the common extension to both sides
+    second = np.flatnonzero((count[r_order] == 2) & (r_common >= 0))
+    i, j = r_order[second], r_order[second - 1]
+    back_common = np.empty(n, np.int64)
+    back_common[l_order] = l_common
+    least, most = np.maximum(0, length - r_common[second]), np.minimum(reach, np.maximum(back_common[i], back_common[j]))
+    ok = least <= most
+    for k in (i[ok], j[ok]):
+        low[k], high[k] = least[ok], most[ok]
+    # of more, the runs of equal right parts meet those of equal left parts, for each place of the anchor in the window
+    some = np.flatnonzero(count > 2)
+    if len(some):
+        keep_r, keep_l = count[r_order] > 2, count[l_order] > 2
+        r_order, r_common, l_order, l_common = r_order[keep_r], r_common[keep_r], l_order[keep_l], l_common[keep_l]
+        r_class, l_class = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for a in range(reach + 1):
+            able = some[(left[some] >= a) & (right[some] >= length - a)]
+            r_class[r_order] = np.cumsum(r_common < length - a)
+            l_class[l_order] = np.cumsum(l_common < a)
+            code = r_class[able] * (n + 1) + l_class[able]
+            by = np.argsort(code, kind="stable")
+            same = code[by][1:] == code[by][:-1]
+            twice = np.zeros(len(by), bool)
+            twice[1:] |= same
+            twice[:-1] |= same
+            rows = able[by[twice]]
+            high[rows] = a
+            low[rows[low[rows] < 0]] = a
     return low, high
 
 
@@ -262,8 +295,8 @@ def _windows(length: int, reach: int):
     return run
 
 
-def repeats(docs: DataFrame, length: int = 400, gram: int = 200, group: int = 4000) -> DataFrame:
-    """docs: doc_id, text, hash.  (doc_id, hash, spans): for texts that have repeated strings, where (bytes, may overlap)."""
+def repeats(docs: DataFrame, length: int = 400, gram: int = 200, group: int = 30_000) -> DataFrame:
+    """group: surroundings of one string that a task takes at once, some 6 KB each.  docs: doc_id, text, hash.  (doc_id, hash, spans): for texts that have repeated strings, where (bytes, may overlap)."""
     kind, reach = docs.schema["doc_id"].dataType.simpleString(), length - gram
     found = docs.where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length, gram), f"doc_id {kind}, hash long, pos long, left int, right int, key long, around long")
     places = C.Table(found, "anchors")
@@ -274,7 +307,7 @@ def repeats(docs: DataFrame, length: int = 400, gram: int = 200, group: int = 40
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("hash") == F.col("__h"))).select("text", "want")
     fetched = C.Table(texts.mapInArrow(_fetch, "key long, around long, d long, left int, bytes binary"), "fetched")
     few = fetched.df.where(F.col("d") <= group)
-    tasks = max(1, -(-few.count() // 10_000))
+    tasks = max(1, -(-few.count() // 4_000))
     solved = few.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks))).groupBy("task").applyInArrow(_solve(length, reach), "key long, around long, low int, high int")
     many = fetched.df.where(F.col("d") > group).dropDuplicates(["key", "around"])
     if many.limit(1).count():
