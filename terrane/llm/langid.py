@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Bytes that are priced at a time.
-STEP = 1 << 20
+STEP = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -133,7 +133,7 @@ def _score(model: Model, order: int):
     return run
 
 
-def _slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about so many bytes of text; a longer text is alone."""
     size, first = 0, 0
     for i, t in enumerate(batch["__text"]):
