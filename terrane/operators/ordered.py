@@ -78,7 +78,7 @@ def segment_value(a: Column, b: Column) -> Column:
 
 def gradient_pieces(df: DataFrame, by: str = "line_id", least: float = 0.0) -> DataFrame:
     """Polylines (line_id, pos, span to the next vertex, value) cut into pieces of at least `least`: (first, last, value)
-    with the length-weighted mean; runs of unknown values are pieces of their own; a short tail joins the piece before it.
+    with the length-weighted mean; runs of unknown values are pieces of their own (null); a short tail joins the piece before it.
     An ordered fold, so each line is one group; a line's vertices are few beside a table's rows."""
     import pandas as pd
 

@@ -122,7 +122,7 @@ def split_areas(areas: DataFrame, most_cells: int = 1024, cell_zoom: int = CELL_
 
         return pd.DataFrame(out, columns=["area_id", "batch"])
 
-    return cells.groupBy(F.lit(0)).applyInPandas(batch, f"area_id {areas.schema['area_id'].dataType.simpleString()}, batch int")
+    return cells.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(batch, f"area_id {areas.schema['area_id'].dataType.simpleString()}, batch int")
 
 
 def by_source(ids: DataFrame, last: str = "glo30") -> DataFrame:
