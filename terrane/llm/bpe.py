@@ -15,7 +15,7 @@ import numpy as np
 #: Marks that close a word; after a letter or number a run of them is a piece of its own.
 MARKS = ".,;:!?)]}*%#&$\"'"
 #: Words that a worker keeps, and characters to a call.
-KEPT, CALL = 1_200_000, 500_000
+KEPT, CALL = 1_000_000, 1_000_000
 
 
 class Encoder:

@@ -55,13 +55,18 @@ def write(df: DataFrame, vocabulary: str, path: str, end: int = 2, encoding: str
     edges = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("e")).first()["e"] if parts > 1 else None
     at = sum((F.coalesce(F.col("doc_id") >= x, F.lit(False)).cast("int") for x in sorted(set(edges or []))), F.lit(0)) if len(edges or []) <= 64 else F.coalesce(F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e <= F.col("doc_id"))), F.lit(0))
     dealt = docs.withColumn("part", at).repartition(parts, "part").sortWithinPartitions("part", "doc_id", "size", "hash").select("part", "doc_id", "text")
-    options = ENCODINGS[encoding] | {"compression": "zstd", "parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes), "parquet.page.row.count.limit": "2000"}
-    spark, before = df.sparkSession, df.sparkSession.conf.get(C._CLEANUP, "false")
-    spark.conf.set(C._CLEANUP, "true")
+    options = ENCODINGS[encoding] | {"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes), "parquet.page.row.count.limit": "2000"}
+    spark = df.sparkSession
+    # the two-level form of lists writes a list's items in one call, not a group for each; readers know both
+    wanted = {C._CLEANUP: "true", "spark.sql.parquet.writeLegacyFormat": "true"}
+    before = {k: spark.conf.get(k, "false") for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         dealt.mapInArrow(_encode(vocabulary, end), FILE.format(docs.schema["doc_id"].dataType.simpleString())).write.options(**options).parquet(path)
     finally:
-        spark.conf.set(C._CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def read(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
