@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import colour, geo, text, tileid
 from ..functions import mercator as M
-from ..operators import inspect, names, ordered, osm, planning, spatial
+from ..functions import view as V
+from ..operators import draw, inspect, lines, names, ordered, osm, planning, spatial
 from . import derive as D
 from . import sql as S
 
@@ -532,3 +533,43 @@ def locate_places(spark, d):
     f = D.points(spark, d, "supplier", "s_suppkey").withColumnRenamed("point_id", "feature_id")
     city = spatial.nearest(points, f, "point_id", 400_000.0, grid=5.0).select("point_id", F.col("feature_id").alias("city"), F.col("distance_m").alias("city_m"))
     return wide.join(city, "point_id", "left")
+
+
+# --- views ------------------------------------------------------------------------------------------------------------
+
+_VIEW = f"""{D.POINTS}, a AS (SELECT point_id, 256 + point_id % 512 AS width, 256 + point_id % 300 AS height, {S.wx('(lon * 0.9 - 2)')} AS x0, {S.wx('(lon * 0.9 + 3)')} AS x1, {S.wy('(lat * 0.9 + 2)')} AS y0, {S.wy('(lat * 0.9 - 1)')} AS y1 FROM pts),
+v AS (SELECT *, least(width / (x1 - x0), height / (y1 - y0)) AS scale FROM a), w AS (SELECT *, (x0 + x1) / 2 - width / (2 * scale) AS ox, (y0 + y1) / 2 - height / (2 * scale) AS oy, log2(scale / 256) AS zoom FROM v)"""
+
+
+def _views(spark, d):
+    p = D.points(spark, d)
+    lon, lat, k = F.col("lon") * 0.9, F.col("lat") * 0.9, F.col("point_id")
+    return V.resolve(p.select("point_id", (lon - 2).alias("w"), (lat - 1).alias("s"), (lon + 3).alias("e"), (lat + 2).alias("n"), (256 + k % 512).alias("width"), (256 + k % 300).alias("height")))
+
+
+@query(f"WITH {_VIEW} SELECT point_id, round(zoom, 8) AS zoom, round(zoom)::INT AS tile_zoom, round(ox, 9) AS ox, round(oy, 9) AS oy FROM w")
+def resolved_views(spark, d):
+    return _views(spark, d).select("point_id", r(F.col("zoom"), 8).alias("zoom"), "tile_zoom", r(F.col("ox")).alias("ox"), r(F.col("oy")).alias("oy"))
+
+
+@query(f"""WITH {_VIEW}, t AS (SELECT *, 2e0 ** round(zoom) AS n FROM w), q AS (SELECT point_id, unnest(range(greatest(0, floor(ox * n + 1e-9))::BIGINT, least(n - 1, ceil((ox + width / scale) * n - 1e-9) - 1)::BIGINT + 1)) AS tx,
+greatest(0, floor(oy * n + 1e-9))::BIGINT AS a, least(n - 1, ceil((oy + height / scale) * n - 1e-9) - 1)::BIGINT AS z FROM t) SELECT point_id, tx, unnest(range(a, z + 1)) AS ty FROM q""")
+def tiles_under_views(spark, d):
+    return V.tiles_under(_views(spark, d)).select("point_id", "tx", "ty")
+
+
+@query()
+def clipped_lines(spark, d):
+    """Each order's way against a square about its customer."""
+    w = D.ways(spark, d).select("way_id", F.transform("line", lambda p: F.struct(((p["lon"] - F.col("lon")) * 1000.0).alias("x"), ((p["lat"] - F.col("lat")) * 1000.0).alias("y"))).alias("points"))
+    return lines.clipped(w, (-96.5, -50.0, 50.0, 50.0)).select("way_id", r(F.col("start"), 3).alias("start"), F.size("run").alias("vertices"))
+
+
+@query()
+def rendered_views(spark, d):
+    """A picture a nation: its rectangle in its own view, with its customers as strokes."""
+    b = V.resolve(D.boxes(spark, d).withColumns({"width": F.lit(96), "height": F.lit(64)}))
+    ring = F.array(*(F.struct(*(c.alias(k) for k, c in zip("xy", V.pixel(F.col(x), F.col(y)), strict=True))) for x, y in (("w", "n"), ("e", "n"), ("e", "s"), ("w", "s"))))
+    shape = lambda kind, ord_, red: b.select(F.col("file_pos").alias("view_id"), "width", "height", F.lit(ord_).alias("ord"), F.lit(kind).alias("kind"), F.array(ring).alias("rings"), F.lit(red).alias("red"), F.lit(90).alias("green"), F.lit(60).alias("blue"), F.lit(2.0).alias("stroke"))
+    got = draw.render(shape("fill", 0, 220).union(shape("stroke", 1, 20)))
+    return got.select("view_id", F.length("png").alias("bytes"), F.md5("png").alias("digest"))
