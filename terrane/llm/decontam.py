@@ -8,7 +8,7 @@ than an item needs are never probed for it.  Every candidate is then checked on
 
 All of it is DataFrame expressions: n-grams are hashed inside the row, exploded only into a hash join with the items'
 signatures, and the check reads the row's own array, so no text is shuffled.  The items' tables are broadcast only if
-counted under `most_broadcast` hashes; beyond that the same joins shuffle.
+counted under `most_broadcast` hashes; beyond that documents' and items' n-grams meet in a shuffled join and are counted.
 
 Words are lower-case and split at ASCII white space.  Defined cases: null and short texts hold nothing; an item of fewer
 than n words has no n-gram and is in nothing; repeated rows give one pair; a null id stays null; an empty table gives no
@@ -41,13 +41,19 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: int
     sized = items.select(F.col(item_col).alias("item_id"), F.array_distinct(gram_hashes(F.col(item_text), n)).alias("grams")).where("size(grams) > 0").distinct()
     sized = sized.withColumn("n_item", F.size("grams")).withColumn("need", F.ceil(F.col("n_item") * F.lit(round(threshold * 10**6)) / F.lit(10**6)).cast("int"))
     total = sized.agg(F.sum("n_item").alias("n")).first()["n"] or 0
-    small = F.broadcast if total <= most_broadcast else (lambda x: x)
-    # the signature: the partition's count of least hash values; the whole item rides along for the check
-    probes = sized.withColumn("probe", F.explode(F.slice(F.array_sort("grams"), F.lit(1), F.col("n_item") - F.col("need") + 1)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), gram_hashes(F.col(text_col), n).alias("own"))
-    hits = rows.select("doc_id", "own", F.explode("own").alias("probe")).join(small(probes), "probe").where("size(own) >= need")
-    shared = F.size(F.array_intersect("own", "grams"))
-    return hits.select("doc_id", "item_id", "n_item", shared.alias("n_shared"), "need").where("n_shared >= need").select(
+    if total <= most_broadcast:
+        # the signature: the partition's count of least hash values; the whole item rides along for the check
+        probes = sized.withColumn("probe", F.explode(F.slice(F.array_sort("grams"), F.lit(1), F.col("n_item") - F.col("need") + 1)))
+        rows = docs.select(F.col(id_col).alias("doc_id"), gram_hashes(F.col(text_col), n).alias("own"))
+        hits = rows.select("doc_id", "own", F.explode("own").alias("probe")).join(F.broadcast(probes), "probe").where("size(own) >= need")
+        hits = hits.select("doc_id", "item_id", "n_item", "need", F.size(F.array_intersect("own", "grams")).alias("n_shared")).distinct()
+    else:
+        # rows that are shuffled carry one hash, not their text's array; equal rows of one id count once
+        every = sized.select("item_id", "n_item", "need", "grams", F.explode("grams").alias("probe"))
+        row = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.array_distinct(gram_hashes(F.col(text_col), n)).alias("own"))
+        hits = row.select("doc_id", "row", F.explode("own").alias("probe")).join(every.select("item_id", "n_item", "need", F.xxhash64("grams").alias("item"), "probe"), "probe")
+        hits = hits.groupBy("doc_id", "row", "item_id", "item", "n_item", "need").agg(F.count_distinct("probe").alias("n_shared"))
+    return hits.where("n_shared >= need").select(
         "doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), F.col("n_shared").cast("long").alias("n_shared"), (F.col("n_shared") / F.col("n_item")).alias("containment")
     ).distinct()
 

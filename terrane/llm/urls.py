@@ -57,7 +57,7 @@ def decide(df: DataFrame, rules: list[tuple[str, str, str]], host_col: str = "ho
         pick = lambda value: F.coalesce(*(F.when(_fits(r, h, p), F.lit(value(r))) for r in longest))
         return df.withColumns({"rule": pick(lambda r: r[1] + r[2]), "own": pick(lambda r: r[0])})
     table = df.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(longest)], "rank int, own string, rule_host string, rule_path string")
-    parts = F.split(h, r"\.")
+    parts = F.split(F.col("__h"), r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
     pairs = df.select(h.alias("__h"), p.alias("__p")).distinct().withColumn("rule_host", F.explode(tails)).join(table, "rule_host").where(F.col("__p").startswith(F.col("rule_path")))
     best = pairs.groupBy("__h", "__p").agg(F.min_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "own"), "rank").alias("b")).select("__h", "__p", "b.rule", "b.own")
