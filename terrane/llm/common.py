@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one in-memory work unit aims at; a longer document is a unit of its own.
-UNIT_BYTES = 12_000_000
+UNIT_BYTES = 8_000_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
