@@ -64,8 +64,20 @@ class Table:
         remove(self.spark, self.path)
 
 
+#: Rows to an Arrow batch: Spark's default of 10,000 is meant for numbers, and long texts would fill a worker.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for the session, unless it has a size of its own."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone, a null text as the empty text; other columns, whatever their names, are left out."""
+    text_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

@@ -147,6 +147,7 @@ def _slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBat
 
 def predict(df: DataFrame, model: Model | None, order: int = 4, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """The columns `keep` of each row with lang_pred and score."""
+    C.text_batches(df.sparkSession)
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     if model is None:
         return df.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))

@@ -30,9 +30,9 @@ def _tokenize(path: str, closing: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, before = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                ids = [np.append(x, enc.dtype.type(closing)) for x in enc.encode(some["text"].to_pylist())]
+            for at in range(0, batch.num_rows, 2500):
+                some = batch.slice(at, 2500)
+                ids = [np.append(x, enc.dtype.type(closing)) for x in enc.encode(some["text"])]
                 n = np.array([len(x) for x in ids], np.int64)
                 start = before + np.cumsum(n) - n
                 before += int(n.sum())

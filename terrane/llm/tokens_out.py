@@ -32,9 +32,9 @@ def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, last, before = encoder(path), None, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                ids = [np.append(x, enc.dtype.type(end)) for x in enc.encode(some["text"].to_pylist())]
+            for at in range(0, batch.num_rows, 2500):
+                some = batch.slice(at, 2500)
+                ids = [np.append(x, enc.dtype.type(end)) for x in enc.encode(some["text"])]
                 n = np.array([len(x) for x in ids], np.int64)
                 start, parts = np.empty(len(n), np.int64), some["part"].to_numpy()
                 for i, (p, k) in enumerate(zip(parts.tolist(), n.tolist(), strict=True)):
@@ -81,7 +81,7 @@ def _digest(base: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch["tokens"]
-            flat, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
+            flat, at = lists.values.to_numpy(zero_copy_only=False).view("<u4"), lists.offsets.to_numpy()
             start = batch["before"].to_numpy() + np.array([base[p] for p in batch["part"].to_pylist()], np.int64)
             yield pa.record_batch({"doc_id": batch["doc_id"], "start": start, "n_tokens": np.diff(at).astype(np.int64), "ids_crc32": np.array([zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], np.int64)})
 
