@@ -17,7 +17,7 @@ page alone on its host keeps all that markup leaves; an empty table gives no row
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -165,23 +165,29 @@ def keep(lines: list[tuple[str, bool]], own: list[int], before: list[int] | None
     return [i not in (found[0] & found[1] if main else found[nearer]) for i, (_, main) in enumerate(lines)]
 
 
-_ROWS = "key string, page_id {}, url string, lines array<string>, main array<boolean>, hashes array<long>"
+_ROWS = "part int, key string, page_id {}, url string, lines array<string>, main array<boolean>, hashes array<long>"
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            some = batch.slice(at, 200)
-            keys, lines, main, hashes = [], [], [], []
-            for h, p, i, html in zip(*(some[k].to_pylist() for k in ("host", "path", "page_id", "html")), strict=True):
-                b = blocks(html)
-                if any(m for _, m in b):
-                    b = [x for x in b if x[1]]
-                keys.append("\0".join((h, p.replace("/", "\1"), str(i), xxhash.xxh3_64_hexdigest(html))))
-                lines.append([t for t, _ in b])
-                main.append([m for _, m in b])
-                hashes.append([xxhash.xxh3_64_intdigest(t) - 2**63 for t, _ in b])
-            yield pa.record_batch({"key": pa.array(keys, pa.string()), "page_id": some["page_id"], "url": some["url"], "lines": pa.array(lines, pa.list_(pa.string())), "main": pa.array(main, pa.list_(pa.bool_())), "hashes": pa.array(hashes, pa.list_(pa.int64()))})
+def _extract(split: list[str]):
+    """split: where the parts begin, but the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                some = batch.slice(at, 200)
+                keys, lines, main, hashes = [], [], [], []
+                for h, p, i, html in zip(*(some[k].to_pylist() for k in ("host", "path", "page_id", "html")), strict=True):
+                    b = blocks(html)
+                    if any(m for _, m in b):
+                        b = [x for x in b if x[1]]
+                    keys.append("\0".join((h, p.replace("/", "\1"), str(i), xxhash.xxh3_64_hexdigest(html))))
+                    lines.append([t for t, _ in b])
+                    main.append([m for _, m in b])
+                    hashes.append([xxhash.xxh3_64_intdigest(t) - 2**63 for t, _ in b])
+                part = pa.array([bisect_right(split, k) for k in keys], pa.int32())
+                yield pa.record_batch({"part": part, "key": pa.array(keys, pa.string()), "page_id": some["page_id"], "url": some["url"], "lines": pa.array(lines, pa.list_(pa.string())), "main": pa.array(main, pa.list_(pa.bool_())), "hashes": pa.array(hashes, pa.list_(pa.int64()))})
+
+    return run
 
 
 def _common(a: str, b: str) -> int:
@@ -212,7 +218,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"), html.alias("html"))
     parts = C.unit_count(rows, "html", unit_bytes)
-    found = rows.mapInArrow(_extract, _ROWS.format(kind))
     split: list[str] = []
     if parts > 1:
         order = F.concat_ws("\0", "host", F.translate("path", "/", "\1"), F.col("page_id").cast("string"))
@@ -220,8 +225,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         sample = rows.select(order.alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(max(1, n // (30 * parts)))) == 0).collect()  # some 30 keys a part
         keys = sorted({r["k"] for r in sample})
         split = sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
-    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, split)), lambda x: x <= F.col("key"))), F.lit(0)) if split else F.lit(0)
-    dealt = found.withColumn("part", part.cast("int"))
+    dealt = rows.mapInArrow(_extract(split), _ROWS.format(kind))
     ends = dealt.groupBy("part").agg(F.min(F.struct("key", "hashes")).alias("a"), F.max(F.struct("key", "hashes")).alias("z"))
     # a part's neighbours are the nearest parts that have pages: one row a part is ordered, not the pages
     line = C.Table(ends, "ends").df

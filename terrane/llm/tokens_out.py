@@ -25,6 +25,8 @@ from .packing import offsets
 
 #: Writer settings for the two encodings; parquet-format names.
 ENCODINGS = {"dictionary": {"parquet.enable.dictionary": "true", "parquet.writer.version": "v1"}, "delta": {"parquet.enable.dictionary": "false", "parquet.writer.version": "v2"}}
+#: More ranges than this are dealt by Spark's sampling, whose search does not slow with their number.
+MANY = 256
 FILE = "part int, doc_id {}, before long, n_tokens long, tokens array<int>"
 
 
@@ -51,10 +53,15 @@ def write(df: DataFrame, vocabulary: str, path: str, end: int = 2, encoding: str
     """Write the ids of all documents in ascending doc_id order."""
     docs = C.documents(df, id_col, text_col).withColumns({"size": F.octet_length("text"), "hash": F.xxhash64("text")})
     parts = max(1, C.unit_count(docs))
-    # ranges from the ids alone: repartitionByRange would read and hash every text once more to sample them
-    edges = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("e")).first()["e"] if parts > 1 else None
-    at = sum((F.coalesce(F.col("doc_id") >= x, F.lit(False)).cast("int") for x in sorted(set(edges or []))), F.lit(0)) if len(edges or []) <= 64 else F.coalesce(F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e <= F.col("doc_id"))), F.lit(0))
-    dealt = docs.withColumn("part", at).repartition(parts, "part").sortWithinPartitions("part", "doc_id", "size", "hash").select("part", "doc_id", "text")
+    keys = ["doc_id", "size", "hash"]
+    if parts > MANY:
+        dealt = docs.repartitionByRange(parts, *keys).withColumn("part", F.spark_partition_id())
+    else:
+        # ranges from the ids alone: repartitionByRange would read and hash every text once more to sample them
+        edges = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("e")).first()["e"] if parts > 1 else None
+        at = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e <= F.col("doc_id"))) if edges else F.lit(0)
+        dealt = docs.withColumn("part", F.coalesce(at, F.lit(0))).repartition(parts, "part")
+    dealt = dealt.sortWithinPartitions("part", *keys).select("part", "doc_id", "text")
     options = ENCODINGS[encoding] | {"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes), "parquet.page.row.count.limit": "2000"}
     spark = df.sparkSession
     # the two-level form of lists writes a list's items in one call, not a group for each; readers know both

@@ -74,7 +74,9 @@ def test_token_files(spark, edge, library, encoding):
     assert [r["start"] for r in rows] == [sum(r["n_tokens"] for r in rows[:k]) for k in range(len(rows))]
 
 
-def test_many_ranges(spark, docs, library, monkeypatch):
+@pytest.mark.parametrize("many", [256, 2])
+def test_many_ranges(spark, docs, library, monkeypatch, many):
+    monkeypatch.setattr(tokens_out, "MANY", many)
     monkeypatch.setattr(tokens_out.C, "unit_count", lambda d: 7)
     rows = tokens_out.round_trip(docs, vocabulary()).orderBy("start").collect()
     assert [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in rows) and len(rows) == docs.count()
