@@ -45,13 +45,22 @@ def plan_areas(areas: DataFrame, source_max: int = 15, cell_zoom: int = CELL_ZOO
     return tiles_over(deep, cell_zoom).groupBy("x", "y").agg(F.max("depth").alias("depth"))
 
 
-def lookup(wanted: DataFrame, directory: DataFrame, block: int = 1 << 16) -> DataFrame:
+#: Block sizes for runs, as powers of two: a run lies in at most two blocks of the least size that holds it.
+SCALES = (6, 14, 22, 30, 40, 62)
+
+
+def lookup(wanted: DataFrame, directory: DataFrame) -> DataFrame:
     """wanted (tile_id) with the directory entry (entry_id, offset, length, run_length) that covers it, or null.  An entry
-    covers run_length ids; ids and entries share blocks of ids, so the interval join is an equi-join with a residual."""
+    covers run_length ids.  Entries are keyed by blocks of a size that suits their run, so a block holds a bounded number of
+    them however the directory is spread, and the interval join is an equi-join with a residual."""
     runs = directory.where("run_length > 0").select(F.col("tile_id").alias("entry_id"), "offset", "length", "run_length")
-    runs = runs.withColumn("__b", F.explode(F.sequence(F.floor(F.col("entry_id") / block), F.floor((F.col("entry_id") + F.col("run_length") - 1) / block))))
-    asked = wanted.withColumn("__b", F.floor(F.col("tile_id") / block))
-    return asked.join(runs, (asked["__b"] == runs["__b"]) & (F.col("tile_id") >= F.col("entry_id")) & (F.col("tile_id") < F.col("entry_id") + F.col("run_length")), "left").drop("__b")
+    block = lambda v, k: F.call_function("shiftright", v, k)
+    runs = runs.withColumn("__s", F.coalesce(*(F.when(F.col("run_length") <= 2**k, F.lit(k)) for k in SCALES)))
+    runs = runs.withColumn("__b", F.explode(F.sequence(block(F.col("entry_id"), F.col("__s")), block(F.col("entry_id") + F.col("run_length") - 1, F.col("__s")))))
+    keys = F.explode(F.array(*(F.struct(F.lit(k).alias("s"), block(F.col("tile_id"), F.lit(k)).alias("b")) for k in SCALES)))
+    asked = wanted.select(F.col("tile_id").cast("long").alias("tile_id")).distinct().withColumn("__k", keys)
+    found = asked.join(runs, (F.col("__k.s") == runs["__s"]) & (F.col("__k.b") == runs["__b"]) & (F.col("tile_id") >= F.col("entry_id")) & (F.col("tile_id") < F.col("entry_id") + F.col("run_length")))
+    return wanted.join(found.select("tile_id", "entry_id", "offset", "length", "run_length"), "tile_id", "left")
 
 
 def split_plan(wanted: DataFrame, held: DataFrame, directory: DataFrame) -> DataFrame:
