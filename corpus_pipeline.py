@@ -17,7 +17,9 @@ from terrane.llm.queries import vocabulary
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what has a language: a text that is `und` goes."""
     model = langid.fit(docs, train=F.pmod(C.id_crc(F.col("doc_id")), F.lit(3)) != 1)
-    return langid.predict(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    own = {c: f"__{i}" for i, c in enumerate(docs.columns)}  # a column of docs may have a name that predictions use
+    told = langid.predict(docs.withColumnsRenamed(own), model, text_col=own["text"]).where("lang_pred <> 'und'")
+    return told.select(*(F.col(v).alias(c) for c, v in own.items()))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
