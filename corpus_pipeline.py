@@ -28,8 +28,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every string of 400 bytes or more that also starts anywhere else; texts of which nothing is left go."""
-    cut = suffix.remove(docs).where("text is null or text <> ''")
+    """Cuts every string of 400 bytes or more, or of over 50 words, that also starts anywhere else; texts of which nothing is
+    left go."""
+    cut = suffix.remove(docs, words=51).where("text is null or text <> ''")
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 

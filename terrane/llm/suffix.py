@@ -17,6 +17,9 @@ A suffix array of the whole corpus would be one global sort of all its bytes.  T
 Nothing is capped and matches never cross documents.  Steps 1 and 2 compare by two independent 64-bit polynomial hashes with
 random byte tables.
 
+Passages told by their number of words (`remove` with `words`) take the same way: each word becomes WORD bytes of its hash, so
+that `words` words are one string of fixed length, whatever their own lengths.
+
 Defined cases: null and short texts lose nothing; repeated rows are repeats of each other; runs of one byte repeat within
 themselves; an empty table gives no rows; a text of any length is read in segments."""
 
@@ -24,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,9 @@ from . import common as C
 
 #: Bytes hashed at a time.
 SEGMENT = 1 << 19
+#: Bytes of hash that stand for a word, and the bytes that end one.
+WORD = 4
+_SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
 _ODD = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D))
 _TABLE = [C.mix(np.arange(256, dtype=np.uint64) + np.uint64(1000 * s + 1)) for s in (1, 2)]
 
@@ -53,8 +59,9 @@ def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 class Prefix:
     """Prefix polynomial hashes: the hash of any substring in constant time, comparable between places."""
 
-    def __init__(self, data: np.ndarray, which: int = 0):
-        size = 1 << max(10, int(len(data)).bit_length())
+    def __init__(self, data: np.ndarray, which: int = 0, least: int = 1 << 10):
+        """least: of the table of powers, for many pieces that differ in size."""
+        size = max(least, 1 << int(len(data)).bit_length())
         self.power, self.inverse = _powers(which, size)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_TABLE[which][data] * self.power[: len(data)], out=self.sums[1:])
@@ -91,11 +98,38 @@ def anchors(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int,
     return p, h[p], around
 
 
-def _anchor_rows(length: int, gram: int):
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text, what ASCII white space parts, start and end."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]]).astype(np.int8)))
+    return edge[::2], edge[1::2]
+
+
+def coded(data: np.ndarray) -> bytes:
+    """WORD bytes for each word of a text."""
+    start, end = words_of(data)
+    out = np.zeros(len(start), np.uint32)
+    a = 0
+    while a < len(start):  # one word at least, then all that begin in a segment
+        b = max(a + 1, int(np.searchsorted(start, start[a] + SEGMENT)))
+        own = Prefix(data[start[a] : end[b - 1]], 0, 2 * SEGMENT)
+        out[a:b] = C.mix(own.of(start[a:b] - start[a], end[a:b] - start[a:b])) >> np.uint64(32)
+        a = b
+    return out.tobytes()
+
+
+def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, their texts coded; called inside the task's one Python step, as each more would hold a worker of its own."""
+    for batch in batches:
+        codes = pa.array([coded(np.frombuffer(t.as_buffer(), np.uint8)) for t in batch["text"]], pa.binary())
+        yield pa.RecordBatch.from_arrays([codes if c == "text" else batch[c] for c in batch.schema.names], names=batch.schema.names)
+
+
+def _anchor_rows(length: int, gram: int, code: bool = False):
     reach = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _code(batches) if code else batches:
+            C.release()
             raw, held, size = [t.as_buffer() for t in batch["text"]], [], 0
             pieces = []  # (row, from, to, core from, core to)
             for r, b in enumerate(raw):
@@ -274,8 +308,8 @@ def _solve(length: int, reach: int):
     return run
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _fetch(batches: Iterator[pa.RecordBatch], code: bool = False) -> Iterator[pa.RecordBatch]:
+    for batch in _code(batches) if code else batches:
         for r in range(batch.num_rows):
             text, want = memoryview(batch["text"][r].as_buffer()), batch["want"][r].values
             pos, left, right = (want.field(k).to_numpy() for k in ("pos", "left", "right"))
@@ -295,17 +329,17 @@ def _windows(length: int, reach: int):
     return run
 
 
-def repeats(docs: DataFrame, length: int = 400, gram: int = 200, group: int = 30_000) -> DataFrame:
-    """group: surroundings of one string that a task takes at once, some 6 KB each.  docs: doc_id, text, hash.  (doc_id, hash, spans): for texts that have repeated strings, where (bytes, may overlap)."""
+def repeats(docs: DataFrame, length: int = 400, gram: int = 200, group: int = 30_000, *, code: bool = False) -> DataFrame:
+    """code: length, gram and spans count bytes of the coded text.  group: surroundings of one string that a task takes at once, some 6 KB each.  docs: doc_id, text, hash.  (doc_id, hash, spans): for texts that have repeated strings, where (bytes, may overlap)."""
     kind, reach = docs.schema["doc_id"].dataType.simpleString(), length - gram
-    found = docs.where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length, gram), f"doc_id {kind}, hash long, pos long, left int, right int, key long, around long")
+    found = docs.where(F.octet_length("text") >= (2 * length // WORD - 1 if code else length)).mapInArrow(_anchor_rows(length, gram, code), f"doc_id {kind}, hash long, pos long, left int, right int, key long, around long")
     places = C.Table(found, "anchors")
     counted = C.Table(places.df.groupBy("key", "around").agg(F.count("*").alias("n"), F.min(F.struct("hash", "doc_id", "pos", "left", "right")).alias("one")), "around")
     keys = counted.df.groupBy("key").agg(F.count("*").alias("d"), F.min("n").alias("least")).where("d > 1 and least = 1").select("key", "d")
     wanted = counted.df.join(keys, "key").select("key", "around", "d", "one.*").groupBy("doc_id", "hash").agg(F.collect_list(F.struct("pos", "left", "right", "key", "around", "d")).alias("want"))
     wanted = wanted.select(F.col("doc_id").alias("__d"), F.col("hash").alias("__h"), "want")
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("hash") == F.col("__h"))).select("text", "want")
-    fetched = C.Table(texts.mapInArrow(_fetch, "key long, around long, d long, left int, bytes binary"), "fetched")
+    fetched = C.Table(texts.mapInArrow(partial(_fetch, code=code), "key long, around long, d long, left int, bytes binary"), "fetched")
     few = fetched.df.where(F.col("d") <= group)
     tasks = max(1, -(-few.count() // 4_000))
     solved = few.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks))).groupBy("task").applyInArrow(_solve(length, reach), "key long, around long, low int, high int")
@@ -324,6 +358,18 @@ def repeats(docs: DataFrame, length: int = 400, gram: int = 200, group: int = 30
     return spans.df
 
 
+def passages(docs: DataFrame, words: int) -> DataFrame:
+    """repeats() of strings of `words` words; spans count bytes of the coded text.  docs: doc_id, text, hash."""
+    return repeats(docs, WORD * words, WORD * (words // 2), code=True)
+
+
+def _in_bytes(text: bytes, spans) -> list[tuple[int, int]]:
+    """Spans of a coded text as spans of the text: whole words, and the white space after them."""
+    start, end = words_of(np.frombuffer(text, np.uint8))
+    after = [0, *start[1:].tolist(), len(text)]  # where the text goes on after so many words
+    return [(after[-(-a // WORD)], after[b // WORD]) for a, b in spans]
+
+
 def _keep(text: memoryview, spans) -> tuple[list[tuple[int, int]], bytes]:
     """Maximal removed runs, and what remains."""
     runs: list[list[int]] = []
@@ -336,10 +382,13 @@ def _keep(text: memoryview, spans) -> tuple[list[tuple[int, int]], bytes]:
     return [tuple(r) for r in runs], b"".join(text[a:b] for a, b in zip(at[::2], at[1::2], strict=True))
 
 
-def _joined(df: DataFrame, length: int, gram: int) -> DataFrame:
-    """df (with doc_id, text) and the spans of each row."""
+def _joined(df: DataFrame, length: int, gram: int, words: int | None = None) -> DataFrame:
+    """df (with doc_id, text) and the spans of each row; with words, those of the coded text as __words."""
     docs = C.documents(df).withColumn("hash", F.xxhash64("text"))
     spans = repeats(docs, length, gram).select(F.col("doc_id").alias("__d"), F.col("hash").alias("__h"), F.col("spans").alias("__spans"))
+    if words:
+        found = passages(docs, words).select(F.col("doc_id").alias("__d"), F.col("hash").alias("__h"), F.col("spans").alias("__words"))
+        spans = spans.unionByName(found, allowMissingColumns=True).groupBy("__d", "__h").agg(*(F.first(c, True).alias(c) for c in ("__spans", "__words")))
     rows = df.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
     return rows.join(spans, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__own") == F.col("__h")), "left").drop("__d", "__h", "__own")
 
@@ -362,15 +411,25 @@ def digest(df: DataFrame, length: int = 400, gram: int = 200) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
 
 
-def remove(df: DataFrame, length: int = 400, gram: int = 200) -> DataFrame:
+def remove(df: DataFrame, length: int = 400, gram: int = 200, words: int | None = None) -> DataFrame:
     """df with text cut: all its columns, in order.  A character that a removed run cuts in two goes with it; a null text
-    stays null."""
+    stays null.  words: strings of so many words that also start anywhere else go too, however few their bytes."""
 
     names = list(df.columns)
 
+    def cut(text: str | None, spans, coded_spans) -> str | None:
+        if text is None or not (spans or coded_spans):
+            return text
+        raw = text.encode()
+        every = [(x["start"], x["end"]) for x in spans or ()]
+        if coded_spans:
+            every += _in_bytes(raw, [(x["start"], x["end"]) for x in coded_spans])
+        return _keep(memoryview(raw), every)[1].decode("utf-8", "ignore")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if t is None else (t if not s else _keep(memoryview(t.encode()), [(x["start"], x["end"]) for x in s])[1].decode("utf-8", "ignore")) for t, s in zip(batch["text"].to_pylist(), batch["__spans"].to_pylist(), strict=True)]
+            coded_spans = batch["__words"].to_pylist() if words else [None] * batch.num_rows
+            texts = [cut(*x) for x in zip(batch["text"].to_pylist(), batch["__spans"].to_pylist(), coded_spans, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch[c] for c in names], names=names)
 
-    return _joined(df, length, gram).mapInArrow(run, df.schema)
+    return _joined(df, length, gram, words).mapInArrow(run, df.schema)

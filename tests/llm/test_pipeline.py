@@ -47,6 +47,48 @@ def test_repeats_are_cut(chain):
     assert set(got) == set(want) and all(0 <= want[i] - len(r["text"].encode()) <= 6 and r["n_chars"] == len(r["text"]) for i, r in got.items())
 
 
+def test_short_passages_of_over_50_words_are_cut(spark):
+    from .conftest import prose
+
+    few = lambda n: " ".join(f"w{k:03d}" for k in range(n))
+    tiny = lambda n: " ".join("abcdefgh"[k * k % 7] for k in range(n))
+    rows = [(k, f"{prose(10 * k, 80)} {p}\n{prose(10 * k + 1, 80)}") for k, p in enumerate([few(51) + " x", few(51) + " y", tiny(60)[:101] + " 1", tiny(60)[:101] + " 2", few(50) + " 4", few(50) + " 5"])]
+    # passages of 51 words in 254 and in 101 bytes go, one of 50 words stays
+    got = {r["doc_id"]: r["text"] for r in P.repeated_strings(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    for k, own in enumerate(["x", "y", "1", "2"]):
+        assert got[k] == f"{prose(10 * k, 80)} {own}\n{prose(10 * k + 1, 80)}"
+    assert got[4] == rows[4][1] and got[5] == rows[5][1]
+
+
+def test_all_passages_of_over_50_words_are_cut(chain):
+    """Every word of a 51-word string that stands twice, and every byte of a 400-byte one, against brute force."""
+    before, after = chain["suffix_array_dedup"]
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in before.collect()}
+    words = {i: [(m.start(), m.end()) for m in re.finditer(rb"[^\x09-\x0D\x1C-\x20]+", b)] for i, b in texts.items()}
+    seen, windows = {}, {}
+    for i, b in texts.items():
+        own = [b[x:y] for x, y in words[i]]
+        windows[i] = [tuple(own[k : k + 51]) for k in range(len(own) - 50)]
+        for w in [*windows[i], *(b[k : k + 400] for k in range(len(b) - 399))]:
+            seen[w] = seen.get(w, 0) + 1
+    got = {r["doc_id"]: r["text"].encode() for r in after.collect()}
+    short = 0
+    for i, b in texts.items():
+        cover = bytearray(len(b))
+        for k in range(len(b) - 399):
+            if seen[b[k : k + 400]] > 1:
+                cover[k : k + 400] = b"\1" * 400
+        for k, w in enumerate(windows[i]):
+            if seen[w] > 1:
+                end = words[i][k + 51][0] if k + 51 < len(words[i]) else len(b)
+                start = words[i][k][0] if k else 0
+                short += not all(cover[start:end])
+                cover[start:end] = b"\1" * (end - start)
+        left = bytes(c for c, x in zip(b, cover, strict=True) if not x).decode("utf-8", "ignore").encode()
+        assert got.get(i, b"") == left
+    assert short
+
+
 def test_clean_documents_stay(spark, chain):
     before, after = chain["decontamination"]
     grams = lambda t: {tuple(w[i : i + 5]) for w in [re.split(r"[\x09-\x0D ]+", t.lower().strip("\t\n\v\f\r "))] for i in range(len(w) - 4)}
