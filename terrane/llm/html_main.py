@@ -4,8 +4,8 @@ Pages of a host are ordered by URL path; each is aligned, block of text by block
 (longest common subsequence of block hashes), and shared blocks are deleted: they are the site's, not the page's.  The nearer
 neighbour is the one with the longer common path.  Markup is used where it is explicit: navigation, headers, footers, asides,
 forms, scripts, adverts, notices and comments are never text, and a page with an article or main element is that element.
-Inside such an element a shared block may be a paragraph that two pages really have in common, so there it is deleted only
-if both neighbours share it; and a neighbour that shares more than half of all blocks is a copy, which says nothing about
+Inside such an element a shared block may be a paragraph that a few pages really have in common, so there it is deleted only
+if both neighbours share it and SITE of the host's pages with such an element, LEAST at least, hold it; and a neighbour that shares more than half of all blocks is a copy, which says nothing about
 the site, and deletes nothing.
 
 The order is dealt by splitters drawn from a hash sample of the keys, so a host of any size is spread over many tasks; each
@@ -39,6 +39,8 @@ NEVER = set("head nav header footer aside form button menu dialog".split())
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
 MARKED = set("ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal newsletter subscribe sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments disqus share sharing social related toolbar pagination login search widget contentinfo complementary form dialog".split())
 MAIN = {"article", "main"}
+#: What share of a host's articles, and how many at least, hold a block that is the site's.
+SITE, LEAST = 0.9, 3
 
 
 def _unwanted(name: str, attrs: str) -> bool:
@@ -156,13 +158,14 @@ def shared(a: list[int], b: list[int]) -> set[int]:
     return out
 
 
-def keep(lines: list[tuple[str, bool]], own: list[int], before: list[int] | None, after: list[int] | None, nearer: int) -> list[bool]:
-    """Which blocks stay; before, after: the neighbours' hashes, or None; nearer: 0 before, 1 after."""
+def keep(lines: list[tuple[str, bool]], own: list[int], before: list[int] | None, after: list[int] | None, nearer: int, site: set[int]) -> list[bool]:
+    """Which blocks stay; before, after: the neighbours' hashes, or None; nearer: 0 before, 1 after; site: hashes that nearly
+    all the host's articles hold."""
     found = []
     for other in (before, after):
         both = set() if other is None or not set(own) & set(other) else shared(own, other)
         found.append(set() if 2 * len(both) > min(len(own), len(other or ())) else both)
-    return [i not in (found[0] & found[1] if main else found[nearer]) for i, (_, main) in enumerate(lines)]
+    return [not (i in found[0] & found[1] and own[i] in site if main else i in found[nearer]) for i, (_, main) in enumerate(lines)]
 
 
 _ROWS = "part int, key string, page_id {}, url string, lines array<string>, main array<boolean>, hashes array<long>"
@@ -200,12 +203,13 @@ def _common(a: str, b: str) -> int:
 
 def _differ(rows: pa.Table, sides: pa.Table) -> pa.Table:
     pages = sorted(rows.select(["key", "page_id", "url", "lines", "main", "hashes"]).to_pylist(), key=lambda r: r["key"])
-    around = {r["side"]: r for r in sides.to_pylist()}
+    around = {r["side"]: r for r in sides.to_pylist() if r["side"] < 2}
+    site = {r["key"]: set(r["hashes"]) for r in sides.to_pylist() if r["side"] == 2}
     line = [around.get(0), *pages, around.get(1)]
     out = {"page_id": [], "url": [], "text": [], "n_chars": [], "n_shared": []}
     for b, p, a in zip(line, pages, line[2:], strict=False):
         near = [-1 if x is None else _common(x["key"], p["key"]) for x in (b, a)]
-        stay = keep(list(zip(p["lines"], p["main"], strict=True)), p["hashes"], *(x["hashes"] if n >= 0 else None for x, n in zip((b, a), near, strict=True)), int(near[1] > near[0]))
+        stay = keep(list(zip(p["lines"], p["main"], strict=True)), p["hashes"], *(x["hashes"] if n >= 0 else None for x, n in zip((b, a), near, strict=True)), int(near[1] > near[0]), site.get(p["key"].partition("\0")[0], set()))
         text = "\n\n".join(t for t, s in zip(p["lines"], stay, strict=True) if s)
         for k, v in zip(out, (p["page_id"], p["url"], text, len(text), stay.count(False)), strict=True):
             out[k].append(v)
@@ -226,10 +230,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         keys = sorted({r["k"] for r in sample})
         split = sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
     dealt = rows.mapInArrow(_extract(split), _ROWS.format(kind))
-    ends = dealt.groupBy("part").agg(F.min(F.struct("key", "hashes")).alias("a"), F.max(F.struct("key", "hashes")).alias("z"))
+    found = C.Table(dealt.select("part", "key", "main", "hashes"), "blocks").df
+    ends = found.groupBy("part").agg(F.min(F.struct("key", "hashes")).alias("a"), F.max(F.struct("key", "hashes")).alias("z"))
     # a part's neighbours are the nearest parts that have pages: one row a part is ordered, not the pages
     line = C.Table(ends, "ends").df
     have = sorted(r["part"] for r in line.select("part").collect())
     step = pages.sparkSession.createDataFrame([(a, b) for a, b in zip(have, have[1:], strict=False)] or [(-1, -1)], "lower int, upper int")
     sides = line.join(step, F.col("part") == F.col("lower")).select(F.col("upper").alias("part"), F.lit(0).alias("side"), "z.key", "z.hashes").union(line.join(step, F.col("part") == F.col("upper")).select(F.col("lower").alias("part"), F.lit(1).alias("side"), "a.key", "a.hashes"))
+    # what nearly all articles of a host hold: a few hashes a host, sent to the parts that have pages of it
+    articles = found.where(F.array_contains("main", True)).select("part", F.substring_index("key", "\0", 1).alias("key"), "hashes")
+    held = articles.select("key", F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("key", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    hosts = articles.groupBy("key").agg(F.count("*").alias("pages"))
+    site = held.join(hosts, "key").where(F.col("n") >= F.col("pages") * SITE).groupBy("key").agg(F.collect_list("hash").alias("hashes"))
+    sides = sides.union(articles.select("part", "key").distinct().join(site, "key").select("part", F.lit(2).alias("side"), "key", "hashes"))
     return dealt.groupBy("part").cogroup(sides.groupBy("part")).applyInArrow(_differ, f"page_id {kind}, url string, text string, n_chars long, n_shared long")

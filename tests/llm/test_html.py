@@ -62,6 +62,16 @@ def test_shared_lines_go(spark, unit):
     assert got[31] == "only 1\n\nmore 1\n\npair" and got[30].endswith("both\n\npair")
 
 
+@pytest.mark.parametrize("unit", [1 << 30, 600])
+def test_paragraphs_of_some_articles_stay(spark, unit):
+    """What three neighbours of ten have in common is text; what all ten have is the site's."""
+    body = lambda k: f"<p>first {k}</p><p>second {k}</p>{'<p>quoted</p>' if k in (3, 4, 5) else '<p>third ' + str(k) + '</p>'}<p>more {k}</p><p>last {k}</p><p>Read on</p>"
+    rows = [(k, f"https://art.x/{k}", f"<article>{body(k)}</article>") for k in range(10)]
+    got = {r["page_id"]: r["text"] for r in H.extract(pages(spark, rows), unit_bytes=unit).collect()}
+    assert got[4] == "first 4\n\nsecond 4\n\nquoted\n\nmore 4\n\nlast 4" and all("quoted" in got[k] for k in (3, 4, 5))
+    assert ["Read on" in got[k] for k in range(10)] == [True, *[False] * 8, True]
+
+
 def test_copies_delete_nothing(spark):
     rows = [(k, f"https://h.x/{k}", "<p>a</p><p>b</p>") for k in range(4)] + [(9, "https://h.x/1", "<p>a</p><p>b</p>")]
     assert {r["text"] for r in H.extract(pages(spark, rows)).collect()} == {"a\n\nb"}
