@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -92,6 +92,14 @@ class Model:
         return cost
 
 
+def picked(id_col: str, share: dict[str, float]) -> Column:
+    """Is the row in its language's share, told by a hash of the id in units of a millionth of a millionth, one at least."""
+    million, h = F.lit(1_000_000), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("sample"))
+    rest = F.pmod(F.shiftright(h, 20), million)  # finer than the millionths
+    units = F.coalesce(*(F.when(F.col("lang") == k, F.lit(max(1, int(v * 10**12)))) for k, v in sorted(share.items())))
+    return F.pmod(h, million) * million + rest < units
+
+
 def fit(df: DataFrame, order: int = 4, sample_docs: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train=None) -> Model | None:
     """Frozen trees from at most about `sample_docs` texts a language (rows where `train` holds, if given)."""
     rows = df.where(train) if train is not None else df
@@ -99,8 +107,7 @@ def fit(df: DataFrame, order: int = 4, sample_docs: int = 500, id_col: str = "do
     share = {r["lang"]: min(1.0, sample_docs / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not share:
         return None
-    pick = F.coalesce(*(F.when(F.col("lang") == k, F.lit(int(v * 1_000_000))) for k, v in sorted(share.items())))
-    some = rows.where(F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("sample")), F.lit(1_000_000)) < pick)
+    some = rows.where(picked("id", share))
     counts = some.select("lang", "text").mapInArrow(_count(order), "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n")).toArrow()
     if not counts.num_rows:
         return None
