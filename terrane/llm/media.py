@@ -276,5 +276,5 @@ def media_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Each text as a stored WAV, sniffed and read back: the digest columns of each document."""
     docs = C.documents(df, id_col, text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    stored = docs.mapInArrow(_store, f"doc_id {kind}, n_bytes long, declared string, media binary")
+    stored = C.Table(docs.mapInArrow(_store, f"doc_id {kind}, n_bytes long, declared string, media binary"), "media").df
     return sniff(stored, "media", "declared").mapInArrow(_digest, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -63,3 +63,11 @@ def test_round_trip(edge, nothing):
     assert all(r["payload_bytes"] % 192 == 0 and r["media_bytes"] == r["payload_bytes"] + 44 for r in got)
     assert len({r["feature"] for r in got if r["doc_id"] in (5, 6)}) == 1
     assert media.media_features(nothing).collect() == []
+
+
+def test_media_are_read_back_from_a_table(spark, docs, monkeypatch):
+    """What is lost on the way to storage is seen: with an empty store there is nothing to read."""
+    from terrane.llm import common
+
+    monkeypatch.setattr(common.Table, "df", property(lambda t: t.spark.read.schema(t.schema).parquet(t.path).limit(0)))
+    assert media.media_features(docs).count() == 0
