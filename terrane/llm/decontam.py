@@ -8,17 +8,23 @@ than an item needs are never probed for it.  Every candidate is then checked on
 
 All of it is DataFrame expressions: n-grams are hashed inside the row, exploded only into a hash join with the items'
 signatures, and the check reads the row's own array, so no text is shuffled.  The items' tables are broadcast only if
-counted under `most_broadcast` hashes; beyond that documents' and items' n-grams meet in a shuffled join and are counted.
+their bytes, counted first, are under `most_broadcast`; beyond that documents' and items' n-grams meet in a shuffled join and
+are counted.
 
 Words are lower-case and split at ASCII white space.  Defined cases: null and short texts hold nothing; an item of fewer
 than n words has no n-gram and is in nothing; repeated rows give one pair; a null id stays null; an empty table gives no
-rows; other columns are not read."""
+rows; other columns, whatever their names, are not read and stay as they are; a text or an item of any length is one array of
+hashes."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
+#: Bytes that a broadcast row takes, of a probe and of an item besides its n-grams.
+PROBE, ITEM = 64, 128
 #: The split pattern: ASCII white space.
 SPACE = "[\\x09-\\x0D\\x20]+"
 
@@ -36,32 +42,38 @@ def gram_hashes(text: Column, n: int) -> Column:
     return F.get(F.transform(F.array(hashed), grams), 0)
 
 
-def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", most_broadcast: int = 1_000_000) -> DataFrame:
-    """One row per (doc_id, item_id) with containment >= threshold: n_item (the item's distinct n-grams), n_shared, containment."""
+def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", most_broadcast: int = 64 << 20) -> DataFrame:
+    """One row per (doc_id, item_id) with containment >= threshold: n_item (the item's distinct n-grams), n_shared, containment.
+    most_broadcast: bytes of signatures and items that are sent to all executors; beyond it both sides are shuffled."""
     sized = items.select(F.col(item_col).alias("item_id"), F.array_distinct(gram_hashes(F.col(item_text), n)).alias("grams")).where("size(grams) > 0").distinct()
-    sized = sized.withColumn("n_item", F.size("grams")).withColumn("need", F.ceil(F.col("n_item") * F.lit(round(threshold * 10**6)) / F.lit(10**6)).cast("int"))
-    total = sized.agg(F.sum("n_item").alias("n")).first()["n"] or 0
-    if total <= most_broadcast:
-        # the signature: the partition's count of least hash values; the whole item rides along for the check
-        probes = sized.withColumn("probe", F.explode(F.slice(F.array_sort("grams"), F.lit(1), F.col("n_item") - F.col("need") + 1)))
+    sized = sized.withColumn("n_item", F.size("grams").cast("long"))
+    # whole numbers of millionths: n_item * 0.8 is no question of rounding
+    sized = sized.withColumn("need", F.expr(f"(n_item * {round(threshold * 10**6)}L + 999999L) div 1000000L"))
+    # a probe is sent as its hash and its item's, each item once with its n-grams; PROBE and ITEM are what a row takes besides
+    sent = F.sum((F.col("n_item") - F.col("need") + 1) * PROBE + F.col("n_item") * 8 + ITEM)
+    if (sized.agg(sent.alias("n")).first()["n"] or 0) <= most_broadcast:
+        whole = sized.withColumn("item", F.xxhash64("grams"))
+        probes = whole.select("item", "need", F.explode(F.slice(F.array_sort("grams"), F.lit(1), (F.col("n_item") - F.col("need") + 1).cast("int"))).alias("probe")).distinct()
         rows = docs.select(F.col(id_col).alias("doc_id"), gram_hashes(F.col(text_col), n).alias("own"))
         hits = rows.select("doc_id", "own", F.explode("own").alias("probe")).join(F.broadcast(probes), "probe").where("size(own) >= need")
+        hits = hits.select("doc_id", "own", "item").join(F.broadcast(whole.select("item", "item_id", "n_item", "need", "grams")), "item")
         hits = hits.select("doc_id", "item_id", "n_item", "need", F.size(F.array_intersect("own", "grams")).alias("n_shared")).distinct()
     else:
         # rows that are shuffled carry one hash, not their text's array; equal rows of one id count once
-        every = sized.select("item_id", "n_item", "need", "grams", F.explode("grams").alias("probe"))
+        every = sized.select("item_id", "n_item", "need", F.xxhash64("grams").alias("item"), F.explode("grams").alias("probe"))
         row = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.array_distinct(gram_hashes(F.col(text_col), n)).alias("own"))
-        hits = row.select("doc_id", "row", F.explode("own").alias("probe")).join(every.select("item_id", "n_item", "need", F.xxhash64("grams").alias("item"), "probe"), "probe")
+        hits = row.select("doc_id", "row", F.explode("own").alias("probe")).join(every, "probe")
         hits = hits.groupBy("doc_id", "row", "item_id", "item", "n_item", "need").agg(F.count_distinct("probe").alias("n_shared"))
     return hits.where("n_shared >= need").select(
-        "doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), F.col("n_shared").cast("long").alias("n_shared"), (F.col("n_shared") / F.col("n_item")).alias("containment")
+        "doc_id", "item_id", "n_item", F.col("n_shared").cast("long").alias("n_shared"), (F.col("n_shared") / F.col("n_item")).alias("containment")
     ).distinct()
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
     """The rows of docs that hold no item."""
-    bad = contained(docs, items, threshold, n).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    (mark,) = fresh(docs, "bad")
+    bad = contained(docs, items, threshold, n).select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(mark)), "left_anti")
 
 
 ORACLE = """

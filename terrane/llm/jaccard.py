@@ -13,7 +13,8 @@
 Words are lower-case and split at ASCII white space; a text of fewer than n words has one n-gram, all its words.
 
 Defined cases: null, empty and blank texts have no n-grams and link to nothing; repeated rows count as documents; a class
-is named by its least doc_id; an empty table gives no rows; columns besides id and text are not read."""
+is named by its least doc_id; an empty table gives no rows; columns besides id and text, whatever their names, are not read; a
+text of any length is one set of n-grams."""
 
 from __future__ import annotations
 
@@ -242,11 +243,12 @@ def join(df: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1
 
 def deduplicate(df: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-9, block: int = 1000) -> DataFrame:
     """The rows of df, one of each class (the least doc_id; of equal ids the least hash of the text) and every row without
-    n-grams; rows that agree in id and text are one."""
+    n-grams; rows that agree in id and text are one, whatever their other columns."""
+    own, doc, hashed = C.fresh(df, "own", "d", "h")
     seen, named = _classes(df, threshold, n, tolerance, block, "doc_id", "text")
     kept = named.select("class_first.*").union(seen.where("digest is null").select("doc_id", "hash")).distinct()
-    kept = C.Table(kept.select(F.col("doc_id").alias("__d"), F.col("hash").alias("__h")), "kept").df
+    kept = C.Table(kept.select(F.col("doc_id").alias(doc), F.col("hash").alias(hashed)), "kept").df
     twice = seen.groupBy("doc_id", "hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    rows = df.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    one = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__own") == F.col("__h")), "left_semi")
-    return (one.dropDuplicates(["doc_id", "__own"]) if twice else one).select(*df.columns)
+    rows = df.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    one = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(hashed)), "left_semi")
+    return (one.dropDuplicates(["doc_id", own]) if twice else one).drop(own)

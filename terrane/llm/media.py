@@ -7,7 +7,9 @@ and none inside another of the same nesting.
 
 Defined cases: a null or empty value is type `application/octet-stream` with no parts; a truncated or corrupt object is
 not one (its declared type stands if it has no better, marked not confirmed); equal values give equal results; an empty
-table gives no rows; very long values are read once, in time proportional to their length and hits."""
+table gives no rows; very long values are read once, in time proportional to their length and hits (a zip's heads each meet
+the end records after them); of two formats with one magic the first that confirms wins; other columns, whatever their names,
+stay as they are."""
 
 from __future__ import annotations
 
@@ -15,8 +17,9 @@ import hashlib
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -114,22 +117,33 @@ def jpeg(b: bytes, i: int) -> int:
     return 0
 
 
+@lru_cache(3)
+def _marks(b: bytes, mark: bytes) -> list[int]:
+    """Where a value's end marks are: looked for once, whatever the number of heads that ask."""
+    return [m.start() for m in re.finditer(re.escape(mark), b)]
+
+
 def pdf(b: bytes, i: int) -> int:
-    end = b.find(b"%%EOF", i)
-    if end < 0 or not re.match(rb"%PDF-[12]\.\d[\r\n ]", b[i : i + 9]):
+    if not re.match(rb"%PDF-[12]\.\d[\r\n ]", b[i : i + 9]):
         return 0
+    ends = _marks(b, b"%%EOF")
+    k = bisect_left(ends, i)
+    if k == len(ends):
+        return 0
+    end = ends[k]
     m = re.search(rb"startxref\s+(\d+)\s+$", b[max(i, end - 60) : end])
     return end + 5 - i if m and i + int(m[1]) < end and re.match(rb"xref|\d+ \d+ obj", b[i + int(m[1]) : i + int(m[1]) + 20]) else 0
 
 
 def archive(b: bytes, i: int) -> int:
     """A zip: the central directory lies where its end record says and holds as many entries."""
-    at = b.find(b"PK\5\6", i)
-    while at >= 0 and at + 22 <= len(b):
+    ends, heads = _marks(b, b"PK\5\6"), _marks(b, b"PK\1\2")
+    for at in ends[bisect_left(ends, i) :]:
+        if at + 22 > len(b):
+            break
         here, n, size, start, note = struct.unpack_from("<HIIH", b, at + 8)[0], *struct.unpack_from("<HIIH", b, at + 10)
-        if here == n and i + start + size == at and b.count(b"PK\1\2", i + start, at) >= n and at + 22 + note <= len(b):
+        if here == n and i + start + size == at and bisect_left(heads, at) - bisect_left(heads, i + start) >= n and at + 22 + note <= len(b):
             return at + 22 + note - i
-        at = b.find(b"PK\5\6", at + 4)
     return 0
 
 
@@ -226,28 +240,32 @@ def as_wav(payload: bytes) -> bytes:
     return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(payload) + len(payload) % 2, b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", len(payload)) + payload + b"\0" * (len(payload) % 2)
 
 
-PARTS = "type string, confirmed boolean, size long, parts array<struct<offset:long,length:long,type:string,depth:int,sha256:string>>"
+#: Types of what sniff adds: type, confirmed, size, parts.
+PARTS = ["string", "boolean", "long", "array<struct<offset:long,length:long,type:string,depth:int,sha256:string>>"]
 
 
 def sniff(df: DataFrame, media_col: str = "media", declared_col: str | None = None) -> DataFrame:
-    """All columns of df with type (corrected), confirmed, size and the parts carved from it."""
-    names = [c for c in df.columns if c not in ("type", "confirmed", "size", "parts")]
-    rows = df.select(*names, F.col(media_col).alias("__m"), (F.col(declared_col) if declared_col else F.lit(None).cast("string")).alias("__d"))
+    """All columns of df with type (corrected), confirmed, size and the parts carved from it; where df has a column of such a
+    name, the new one has an underscore before it."""
+    names, own = list(df.columns), C.fresh(df, "type", "confirmed", "size", "parts", "m", "d")
+    kinds = dict(zip(names, (f.dataType.simpleString() for f in df.schema.fields), strict=True))
+    media, declared = own[4:]
+    rows = df.select(*(F.col(f"`{c}`") for c in names), F.col(media_col).alias(media), (F.col(declared_col) if declared_col else F.lit(None).cast("string")).alias(declared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind, sure, size, parts = [], [], [], []
-            for b, d in zip(batch["__m"].to_pylist(), batch["__d"].to_pylist(), strict=True):
+            for b, d in zip(batch[media].to_pylist(), batch[declared].to_pylist(), strict=True):
                 found = objects(b or b"")
                 true = next((k for i, _, k, _ in found if i == 0), None)
                 kind.append(true or d or UNKNOWN)
                 sure.append(true is not None)
                 size.append(len(b or b""))
                 parts.append([{"offset": i, "length": n, "type": k, "depth": e, "sha256": hashlib.sha256(b[i : i + n]).hexdigest()} for i, n, k, e in found if i])
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(kind, pa.string()), pa.array(sure, pa.bool_()), pa.array(size, pa.int64()), pa.array(parts, _PARTS)], names=[*names, "type", "confirmed", "size", "parts"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(kind, pa.string()), pa.array(sure, pa.bool_()), pa.array(size, pa.int64()), pa.array(parts, _PARTS)], names=[*names, *own[:4]])
 
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(run, f"{fields}, {PARTS}")
+    fields = [f"`{c}` {kinds[c]}" for c in names] + [f"`{c}` {kind}" for c, kind in zip(own, PARTS, strict=False)]
+    return rows.mapInArrow(run, ", ".join(fields))
 
 
 _PARTS = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("depth", pa.int32()), ("sha256", pa.string())]))

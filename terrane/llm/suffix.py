@@ -21,7 +21,8 @@ Passages told by their number of words (`remove` with `words`) take the same way
 that `words` words are one string of fixed length, whatever their own lengths.
 
 Defined cases: null and short texts lose nothing; repeated rows are repeats of each other; runs of one byte repeat within
-themselves; an empty table gives no rows; a text of any length is read in segments."""
+themselves; an empty table gives no rows; a text of any length is read in segments; other columns, whatever their names, stay as
+they are."""
 
 from __future__ import annotations
 
@@ -335,8 +336,9 @@ def repeats(docs: DataFrame, length: int = 400, gram: int = 200, group: int = 30
     found = docs.where(F.octet_length("text") >= (2 * length // WORD - 1 if code else length)).mapInArrow(_anchor_rows(length, gram, code), f"doc_id {kind}, hash long, pos long, left int, right int, key long, around long")
     places = C.Table(found, "anchors")
     counted = C.Table(places.df.groupBy("key", "around").agg(F.count("*").alias("n"), F.min(F.struct("hash", "doc_id", "pos", "left", "right")).alias("one")), "around")
-    keys = counted.df.groupBy("key").agg(F.count("*").alias("d"), F.min("n").alias("least")).where("d > 1 and least = 1").select("key", "d")
-    wanted = counted.df.join(keys, "key").select("key", "around", "d", "one.*").groupBy("doc_id", "hash").agg(F.collect_list(F.struct("pos", "left", "right", "key", "around", "d")).alias("want"))
+    # a written side, so that a string with very many surroundings is plain shuffled rows, which adaptive skew joins split
+    keys = C.Table(counted.df.groupBy("key").agg(F.count("*").alias("d"), F.min("n").alias("least")).where("d > 1 and least = 1").select("key", "d"), "keys")
+    wanted = counted.df.join(keys.df, "key").select("key", "around", "d", "one.*").groupBy("doc_id", "hash").agg(F.collect_list(F.struct("pos", "left", "right", "key", "around", "d")).alias("want"))
     wanted = wanted.select(F.col("doc_id").alias("__d"), F.col("hash").alias("__h"), "want")
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("hash") == F.col("__h"))).select("text", "want")
     fetched = C.Table(texts.mapInArrow(partial(_fetch, code=code), "key long, around long, d long, left int, bytes binary"), "fetched")
@@ -353,7 +355,7 @@ def repeats(docs: DataFrame, length: int = 400, gram: int = 200, group: int = 30
     verdicts = C.Table(whole.unionByName(solved.join(single, ["key", "around"], "left_semi")), "verdicts")
     spans = places.df.join(verdicts.df, ["key", "around"]).select("doc_id", "hash", (F.col("pos") - F.coalesce("high", "left")).alias("start"), (F.col("pos") + F.coalesce(F.lit(length) - F.col("low"), "right")).alias("end"))
     spans = C.Table(spans.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
-    for t in (places, counted, fetched, verdicts):
+    for t in (places, counted, keys, fetched, verdicts):
         t.drop()
     return spans.df
 
@@ -382,33 +384,43 @@ def _keep(text: memoryview, spans) -> tuple[list[tuple[int, int]], bytes]:
     return [tuple(r) for r in runs], b"".join(text[a:b] for a, b in zip(at[::2], at[1::2], strict=True))
 
 
-def _joined(df: DataFrame, length: int, gram: int, words: int | None = None) -> DataFrame:
-    """df (with doc_id, text) and the spans of each row; with words, those of the coded text as __words."""
+def _joined(df: DataFrame, length: int, gram: int, words: int | None = None) -> tuple[DataFrame, str, str]:
+    """df (with doc_id, text) and two more columns, whose names are given too: the spans of each row and, with words, those of
+    the coded text."""
+    own, doc, hashed, spans, coded_spans = C.fresh(df, "own", "d", "h", "spans", "words")
     docs = C.documents(df).withColumn("hash", F.xxhash64("text"))
-    spans = repeats(docs, length, gram).select(F.col("doc_id").alias("__d"), F.col("hash").alias("__h"), F.col("spans").alias("__spans"))
+    found = repeats(docs, length, gram).select(F.col("doc_id").alias(doc), F.col("hash").alias(hashed), F.col("spans").alias(spans))
     if words:
-        found = passages(docs, words).select(F.col("doc_id").alias("__d"), F.col("hash").alias("__h"), F.col("spans").alias("__words"))
-        spans = spans.unionByName(found, allowMissingColumns=True).groupBy("__d", "__h").agg(*(F.first(c, True).alias(c) for c in ("__spans", "__words")))
-    rows = df.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return rows.join(spans, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__own") == F.col("__h")), "left").drop("__d", "__h", "__own")
+        more = passages(docs, words).select(F.col("doc_id").alias(doc), F.col("hash").alias(hashed), F.col("spans").alias(coded_spans))
+        found = found.unionByName(more, allowMissingColumns=True).groupBy(doc, hashed).agg(*(F.first(c, True).alias(c) for c in (spans, coded_spans)))
+    rows = df.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return rows.join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(hashed)), "left").drop(doc, hashed, own), spans, coded_spans
 
 
-def digest(df: DataFrame, length: int = 400, gram: int = 200) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans."""
+def _pairs(spans) -> list[tuple[int, int]]:
+    return [(s["start"], s["end"]) for s in spans or ()]
+
+
+def digest(df: DataFrame, length: int = 400, gram: int = 200, words: int = 51) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans; and n_passage_bytes, the bytes of strings of `words` words or
+    more that also start anywhere else, however few their bytes (they are reported, not removed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i in range(batch.num_rows):
-                text, spans = memoryview(batch["text"][i].as_buffer()), batch["__spans"][i].as_py()
-                runs, kept = _keep(text, [(s["start"], s["end"]) for s in spans or ()])
-                rows.append({"doc_id": batch["doc_id"][i].as_py(), "n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(runs), "kept_sha256": hashlib.sha256(kept).hexdigest(), "spans": [{"start": a, "end": b} for a, b in runs]})
+                text = memoryview(batch["text"][i].as_buffer())
+                runs, kept = _keep(text, _pairs(batch[spans][i].as_py()))
+                told = _pairs(batch[coded_spans][i].as_py())
+                inside = sum(b - a for a, b in _keep(text, _in_bytes(text, told))[0]) if told else 0
+                rows.append({"doc_id": batch["doc_id"][i].as_py(), "n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(runs), "kept_sha256": hashlib.sha256(kept).hexdigest(), "spans": [{"start": a, "end": b} for a, b in runs], "n_passage_bytes": inside})
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", batch.schema.field("doc_id").type), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", span)]))
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", batch.schema.field("doc_id").type), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", span), ("n_passage_bytes", pa.int64())]))
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    rows = _joined(df.select("doc_id", "text"), length, gram).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "__spans")
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    rows, spans, coded_spans = _joined(df.select("doc_id", "text"), length, gram, words)
+    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), spans, coded_spans)
+    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, n_passage_bytes long")
 
 
 def remove(df: DataFrame, length: int = 400, gram: int = 200, words: int | None = None) -> DataFrame:
@@ -417,19 +429,17 @@ def remove(df: DataFrame, length: int = 400, gram: int = 200, words: int | None
 
     names = list(df.columns)
 
-    def cut(text: str | None, spans, coded_spans) -> str | None:
-        if text is None or not (spans or coded_spans):
+    def cut(text: str | None, plain, coded) -> str | None:
+        if text is None or not (plain or coded):
             return text
         raw = text.encode()
-        every = [(x["start"], x["end"]) for x in spans or ()]
-        if coded_spans:
-            every += _in_bytes(raw, [(x["start"], x["end"]) for x in coded_spans])
-        return _keep(memoryview(raw), every)[1].decode("utf-8", "ignore")
+        return _keep(memoryview(raw), _pairs(plain) + (_in_bytes(raw, _pairs(coded)) if coded else []))[1].decode("utf-8", "ignore")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            coded_spans = batch["__words"].to_pylist() if words else [None] * batch.num_rows
-            texts = [cut(*x) for x in zip(batch["text"].to_pylist(), batch["__spans"].to_pylist(), coded_spans, strict=True)]
+            told = batch[coded_spans].to_pylist() if words else [None] * batch.num_rows
+            texts = [cut(*x) for x in zip(batch["text"].to_pylist(), batch[spans].to_pylist(), told, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch[c] for c in names], names=names)
 
-    return _joined(df, length, gram, words).mapInArrow(run, df.schema)
+    rows, spans, coded_spans = _joined(df, length, gram, words)
+    return rows.mapInArrow(run, df.schema)

@@ -6,10 +6,12 @@ counts and starts are columns beside the ids, so a reader that wants only these
 that wants a few documents finds their pages by the index on doc_id.
 
 Defined cases: a null or empty text is the end id alone; equal ids are ordered by their text's size and hash; a null doc_id
-comes first; an empty table gives no rows."""
+comes first; ids of any type that has an order; an empty table gives no rows; a text of any length is one list; other columns,
+whatever their names, are not read."""
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,26 +27,24 @@ from .packing import offsets
 
 #: Writer settings for the two encodings; parquet-format names.
 ENCODINGS = {"dictionary": {"parquet.enable.dictionary": "true", "parquet.writer.version": "v1"}, "delta": {"parquet.enable.dictionary": "false", "parquet.writer.version": "v2"}}
-#: More ranges than this are dealt by Spark's sampling, whose search does not slow with their number.
-MANY = 256
+#: Up to so many ranges each holds one work unit; beyond it their number grows as the root of the input, so that the driver's
+#: numbers, one a range, stay few (a range is sorted with spilling and read as a stream, so its size is not bound by memory).
+MANY = 1000
 FILE = "part int, doc_id {}, before long, n_tokens long, tokens array<int>"
 
 
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, last, before = encoder(path), None, 0
+        enc, before = encoder(path), 0  # a task is one range
         for batch in batches:
             for at in range(0, batch.num_rows, 2500):
                 some = batch.slice(at, 2500)
                 ids = [np.append(x, enc.dtype.type(end)) for x in enc.encode(some["text"])]
                 n = np.array([len(x) for x in ids], np.int64)
-                start, parts = np.empty(len(n), np.int64), some["part"].to_numpy()
-                for i, (p, k) in enumerate(zip(parts.tolist(), n.tolist(), strict=True)):
-                    before = before if p == last else 0  # a task may hold several ranges, one after the other
-                    start[i], last = before, p
-                    before += k
+                start = before + np.cumsum(n) - n
+                before += int(n.sum())
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(np.concatenate(ids).astype(np.int32)))
-                yield pa.record_batch({"part": parts, "doc_id": some["doc_id"], "before": start, "n_tokens": n, "tokens": lists})
+                yield pa.record_batch({"part": some["part"], "doc_id": some["doc_id"], "before": start, "n_tokens": n, "tokens": lists})
 
     return run
 
@@ -52,16 +52,12 @@ def _encode(path: str, end: int):
 def write(df: DataFrame, vocabulary: str, path: str, end: int = 2, encoding: str = "dictionary", row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all documents in ascending doc_id order."""
     docs = C.documents(df, id_col, text_col).withColumns({"size": F.octet_length("text"), "hash": F.xxhash64("text")})
-    parts = max(1, C.unit_count(docs))
-    keys = ["doc_id", "size", "hash"]
-    if parts > MANY:
-        dealt = docs.repartitionByRange(parts, *keys).withColumn("part", F.spark_partition_id())
-    else:
-        # ranges from the ids alone: repartitionByRange would read and hash every text once more to sample them
-        edges = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("e")).first()["e"] if parts > 1 else None
-        at = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e <= F.col("doc_id"))) if edges else F.lit(0)
-        dealt = docs.withColumn("part", F.coalesce(at, F.lit(0))).repartition(parts, "part")
-    dealt = dealt.sortWithinPartitions("part", *keys).select("part", "doc_id", "text")
+    units = max(1, C.unit_count(docs))
+    parts = units if units <= MANY else math.ceil(math.sqrt(units * MANY))
+    # rows that agree in id and text, whose order is of no matter, are parted by their place, so that no range is all copies
+    keys = ["doc_id", "size", "hash", "place"]
+    dealt = docs.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).withColumn("part", F.spark_partition_id())
+    dealt = dealt.sortWithinPartitions(*keys[:3]).select("part", "doc_id", "text")
     options = ENCODINGS[encoding] | {"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes), "parquet.page.row.count.limit": "2000"}
     spark = df.sparkSession
     # the two-level form of lists writes a list's items in one call, not a group for each; readers know both

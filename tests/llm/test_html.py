@@ -79,3 +79,70 @@ def test_copies_delete_nothing(spark):
 
 def test_empty(spark):
     assert H.extract(pages(spark, []).limit(0)).collect() == []
+
+
+def brute(rows):
+    """Page differencing by the plain definition: pages of a host in order, a table for the common subsequence."""
+
+    def common(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        out = set()
+        while i < len(a) and j < len(b):
+            if a[i] == b[j] and best[i][j] == best[i + 1][j + 1] + 1:
+                out.add(i)
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+
+    hosts = {}
+    for i, url, html in rows:
+        rest = (url or "").partition("://")[2]
+        cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        path = rest[cut : min([rest.find(c) for c in "?#" if c in rest], default=len(rest))]
+        hosts.setdefault(rest[:cut].lower(), []).append((path.replace("/", "\1"), str(i), i, H.parts(html or "")))
+    out = {}
+    for group in hosts.values():
+        group.sort(key=lambda r: r[:2])
+        kinds = {(x, k == H.BODY) for *_, p in group for x, k in p}
+        different = {tuple(p) for *_, p in group if p}
+        holds = {x: sum(x in {(t, k == H.BODY) for t, k in p} for p in different) for x in kinds}
+        pages = {body: sum(any((k == H.BODY) == body for _, k in p) for p in different) for body in (True, False)}
+        site = {x for x, n in holds.items() if n >= H.LEAST and n >= H.SITE * pages[x[1]]}
+        for at, (path, _, i, p) in enumerate(group):
+            wanted = H.BODY if any(k == H.BODY for _, k in p) else H.PLAIN
+            mine = {x for x, (t, k) in enumerate(p) if k == wanted and (t, k == H.BODY) not in site}
+            found, near = [], []
+            for other in (group[at - 1] if at else None, group[at + 1] if at + 1 < len(group) else None):
+                both = common([t for t, _ in p], [t for t, _ in other[3]]) if other else set()
+                found.append(set() if 2 * len(both & mine) > len(mine) else both)
+                near.append(-1 if other is None else next((n for n, (a, b) in enumerate(zip(path, other[0], strict=False)) if a != b), min(len(path), len(other[0]))))
+            nearer = found[near[1] > near[0]]
+            gone = {x for x, (t, k) in enumerate(p) if (x in found[0] & found[1] and (t, True) in site if k == H.BODY else x in nearer or (t, False) in site)}
+            out[i] = ("\n\n".join(t for x, (t, k) in enumerate(p) if x not in gone and k == wanted), len(gone))
+    return out
+
+
+@pytest.mark.parametrize("unit", [1 << 30, 2000])
+def test_whole_query_by_brute_force(spark, unit):
+    """Pages as given, and made ones whose furniture only differencing can tell."""
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    wrap = ["<div>{}</div>", "<article>{}</article>", "<article>{}</article>"]
+    for k in range(60):
+        body = "".join(f"<p>own {k} {i}</p>" for i in range(k % 4 + 1)) + ("<p>quoted</p>" if k % 5 == 0 else "") + "<p>everywhere</p>"
+        rows.append((10_000 + k, f"https://made.x/{k % 7}/{k:02d}", f"<div>Site {k % 2}</div><nav>Menu</nav>{wrap[k % 3].format(body)}<div>Imprint</div>"))
+    got = {r["page_id"]: r for r in H.extract(pages(spark, rows), unit_bytes=unit).collect()}
+    want = brute(rows)
+    assert {i: (r["text"], r["n_shared"]) for i, r in got.items()} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values()) and sum(n for _, n in want.values()) > 150
+    assert got[10_003]["text"] == "own 3 0\n\nown 3 1\n\nown 3 2\n\nown 3 3"
+
+
+def test_classes_of_running_text(spark):
+    assert text("<article><p class='related-work'>a</p><p class='ad'>b</p><div class='related-links'>c</div><p>x <math><mi>y</mi></math></p></article>") == ["a", "x y"]

@@ -102,3 +102,12 @@ def test_dense_and_sparse_checks_agree():
         few[a, b] = few[b, a] = True
     i, j = J._links(flat, starts, sig, few, 0.8, 1e-9)
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(sorted(want)[:20])
+
+
+def test_deduplicate_keeps_columns_of_any_name(spark):
+    from .conftest import prose
+
+    rows = [(k, prose(k // 2, 50), k, -k, 7, "x") for k in range(6)]
+    got = J.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, own int, D int, h int, digest string"))
+    assert got.columns == ["doc_id", "text", "own", "D", "h", "digest"]
+    assert sorted(map(tuple, got.collect())) == rows[::2]

@@ -71,3 +71,18 @@ def test_media_are_read_back_from_a_table(spark, docs, monkeypatch):
 
     monkeypatch.setattr(common.Table, "df", property(lambda t: t.spark.read.schema(t.schema).parquet(t.path).limit(0)))
     assert media.media_features(docs).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, bytearray(b"\x89PNG"), "t", 5, True, "p", 3)], "id int, media binary, type string, size int, confirmed boolean, Parts string, m int")
+    got = media.sniff(df)
+    assert got.columns == [*df.columns, "_type", "_confirmed", "_size", "_parts"]
+    assert tuple(got.first()) == (*df.first(), media.UNKNOWN, False, 4, [])
+
+
+def test_many_false_heads_take_little_time():
+    import time
+
+    began = time.perf_counter()
+    assert media.objects(b"%PDF-1.4\nPK\3\4" * 100_000) == []
+    assert time.perf_counter() - began < 5

@@ -96,3 +96,35 @@ def test_components(spark, edges):
             x, y = sorted((root(a), root(b)))
             parent[y] = x
     assert got == {k: root(k) for k in parent}
+
+
+def test_relative_targets(spark):
+    canon = lambda u: f"<link rel='canonical' href=\"{u}\">"
+    rows = [page("http://a.com/x/1?q", canon("/en/9")), page("http://b.com/en/1", "<p>"), page("http://c.uk/d/e", canon("//b.com/en/1")), page("http://b.com/x/y", canon("z")), page("http://b.com/x/z", canon("http://org/es/")), page("http://b.com", canon("en/")), page("http://d.uk/", canon("#top")), page(None, canon("/en/")), page("http://b.com/x/q", canon("?en=1")), page("mailto:me", canon("/en/"))]
+    assert [v[1:] for v in verdicts(spark, rows)] == [("block", "alias"), ("block", "rule"), ("block", "alias"), ("block", "alias"), ("block", "alias"), ("block", "alias"), ("allow", "default"), ("allow", "default"), ("allow", "default"), ("allow", "default")]
+
+
+def test_relative_targets_in_sql(spark, tmp_path):
+    link = "<link rel=canonical href={}>"
+    rows = [(i, u, link.format(t)) for i, (u, t) in enumerate((u, t) for u in ("http://a.com/x/1?q#f", "http://a.uk", "https://B.org/es/", "x", "ftp://n.net/de/8/../9") for t in ("/en/1", "//b.com/en/", "y/z", "?a=1", "#", "http://c.com/en/", "mailto:x", "../up"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    c = duckdb.connect()
+    c.register("pages", df.toPandas())
+    got = urls.judge(df)
+    cols = sorted(got.columns)
+    assert sorted(map(str, (tuple(r) for r in got.select(*cols).collect()))) == sorted(map(str, c.sql(urls.oracle()).select(", ".join(cols)).fetchall()))
+
+
+@pytest.mark.parametrize("most", [64 << 20, 0])
+def test_long_items(spark, most):
+    long = prose(50, 50_000)
+    words = long.split(" ")
+    docs = spark.createDataFrame([(1, "before " + long + " after"), (2, " ".join(words[:42_000])), (3, " ".join(words[:30_000])), (4, "short")], "doc_id long, text string")
+    items = spark.createDataFrame([("a", long), ("b", " ".join(words[100:110]))], "item_id string, text string")
+    want = sorted((d, i, len(g & h) / len(g)) for d, t in map(tuple, docs.collect()) for i, u in map(tuple, items.collect()) for g, h in [(grams(u), grams(t))] if 5 * len(g & h) >= 4 * len(g))
+    assert sorted((r["doc_id"], r["item_id"], r["containment"]) for r in decontam.contained(docs, items, most_broadcast=most).collect()) == want and len(want) == 5
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, prose(1, 30), 5, 6, 7), (2, "other", 8, 9, 10)], "doc_id long, text string, bad int, _BAD int, own int")
+    assert [tuple(r) for r in decontam.clean(docs, spark.createDataFrame([(1, prose(1, 20))], "item_id long, text string")).collect()] == [(2, "other", 8, 9, 10)]

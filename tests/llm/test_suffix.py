@@ -94,3 +94,24 @@ def test_collisions_fall_back_to_bytes(monkeypatch):
     monkeypatch.setattr(S, "prefix_hashes", lambda rows: np.zeros((len(rows), rows.shape[1] + 1), np.uint64))
     out, common = S.verified_order(rows, sizes, np.zeros(4, np.int64))
     assert [raw[k] for k in out] == sorted(raw) and common.tolist() == [-1, 1, 3, 2]
+
+
+def test_columns_of_any_name_stay(spark):
+    from .conftest import prose
+
+    few = " ".join(f"w{k:02d}" for k in range(55))
+    rows = [(k, f"{prose(k, 60)} {few}", *range(k, k + 6)) for k in range(3)]
+    names = "own int, d int, h int, spans int, Words int, hash int"
+    got = S.remove(spark.createDataFrame(rows, f"doc_id long, text string, {names}"), words=51)
+    assert got.columns == ["doc_id", "text", "own", "d", "h", "spans", "Words", "hash"]
+    assert sorted(map(tuple, got.collect())) == [(k, prose(k, 60) + " ", *range(k, k + 6)) for k in range(3)]
+
+
+def test_passages_are_told(spark):
+    """Passages of 51 words in less than 400 bytes are reported by the digest, which removes strings of 400 bytes alone."""
+    from .conftest import prose
+
+    few = lambda n: " ".join(f"w{k:02d}" for k in range(n))
+    rows = [(1, f"{prose(1, 30)} {few(51)} a"), (2, f"{prose(2, 30)} {few(51)} b"), (3, f"{prose(3, 30)} {few(50)} c"), (4, None)]
+    got = {r["doc_id"]: (r["n_removed"], r["n_passage_bytes"]) for r in S.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (0, len(few(51)) + 1), 2: (0, len(few(51)) + 1), 3: (0, 0), 4: (0, 0)}

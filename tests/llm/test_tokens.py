@@ -97,3 +97,15 @@ def test_file_layout(spark, docs, tmp_path, encoding, want):
 
 def test_empty(nothing):
     assert packing.pack(nothing, vocabulary()).collect() == [] and tokens_out.round_trip(nothing, vocabulary()).collect() == []
+
+
+@pytest.mark.parametrize("many", [256, 2])
+def test_ids_that_are_strings_and_rows_that_repeat(spark, library, monkeypatch, many):
+    monkeypatch.setattr(tokens_out, "MANY", many)
+    monkeypatch.setattr(tokens_out.C, "unit_count", lambda d: 7)
+    texts = [(f"k{k % 50:02d}", f"text number {k % 50}") for k in range(300)] + [("same", "one row that repeats")] * 400
+    rows = tokens_out.round_trip(spark.createDataFrame(texts, "doc_id string, text string"), vocabulary()).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == sorted(i for i, _ in texts)
+    assert [r["start"] for r in rows] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in rows])[:-1]]).tolist()
+    want = {t: crc([*x, 2]) for (_, t), x in zip(texts, ids(library, [t for _, t in texts]), strict=True)}
+    assert sorted(r["ids_crc32"] for r in rows) == sorted(want[t] for _, t in texts)
