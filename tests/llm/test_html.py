@@ -141,7 +141,7 @@ def test_whole_query_by_brute_force(spark, unit):
     want = brute(rows)
     assert {i: (r["text"], r["n_shared"]) for i, r in got.items()} == want
     assert all(r["n_chars"] == len(r["text"]) for r in got.values()) and sum(n for _, n in want.values()) > 150
-    assert got[10_003]["text"] == "own 3 0\n\nown 3 1\n\nown 3 2\n\nown 3 3"
+    assert not any("Imprint" in r["text"] or "Menu" in r["text"] for i, r in got.items() if i >= 10_000)
 
 
 def test_classes_of_running_text(spark):
