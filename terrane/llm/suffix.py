@@ -65,7 +65,8 @@ class Prefix:
         size = max(least, 1 << int(len(data)).bit_length())
         self.power, self.inverse = _powers(which, size)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLE[which][data] * self.power[: len(data)], out=self.sums[1:])
+        value = _TABLE[which][data] if data.dtype == np.uint8 else C.mix(data + np.uint64(1000 * which + 1))
+        np.cumsum(value * self.power[: len(data)], out=self.sums[1:])
 
     def of(self, start, length) -> np.ndarray:
         return (self.sums[start + length] - self.sums[start]) * self.inverse[start]
@@ -80,8 +81,8 @@ def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int, gram: int):
-    """Places, and hashes there of the string and of its surroundings.  starts, ends: of the text that each byte is in,
-    as far as it lies in `data`."""
+    """Places, and hashes there of the string and of its surroundings.  data: bytes, or numbers of 64 bits that each stand for
+    one symbol.  starts, ends: of the text that each symbol is in, as far as it lies in `data`."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none.astype(np.uint64), none.astype(np.uint64)
@@ -126,7 +127,8 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _anchor_rows(length: int, gram: int, code: bool = False):
-    reach = length - gram
+    """length, gram, and all places count bytes; of coded texts the symbols are words."""
+    reach, unit = length - gram, WORD if code else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _code(batches) if code else batches:
@@ -146,14 +148,15 @@ def _anchor_rows(length: int, gram: int, code: bool = False):
                     held, size = [], 0
 
     def rows(batch, raw, held):
-        data = np.frombuffer(b"".join(memoryview(raw[r])[a:b] for r, a, b, _, _ in held), np.uint8)
+        flat = b"".join(memoryview(raw[r])[a:b] for r, a, b, _, _ in held)
+        data = np.frombuffer(flat, np.uint32).astype(np.uint64) if code else np.frombuffer(flat, np.uint8)
         row, a, b, core, core_end = np.array(held, np.int64).T
-        sizes = b - a
+        sizes = (b - a) // unit
         first = np.cumsum(sizes) - sizes
         starts, ends, owner = (np.repeat(x, sizes) for x in (first, first + sizes, np.arange(len(held))))
-        p, key, around = anchors(data, ends, starts, length, gram)
+        p, key, around = anchors(data, ends, starts, length // unit, gram // unit)
         o = owner[p]
-        pos = p - first[o] + a[o]
+        pos = (p - first[o]) * unit + a[o]
         keep = (pos >= core[o]) & (pos < core_end[o])
         p, key, around, o, pos = p[keep], key[keep], around[keep], o[keep], pos[keep]
         total = np.array([len(raw[r]) for r in row], np.int64)[o]
