@@ -338,10 +338,11 @@ def repeats(docs: DataFrame, length: int = 400, gram: int = 200, group: int = 30
     kind, reach = docs.schema["doc_id"].dataType.simpleString(), length - gram
     found = docs.where(F.octet_length("text") >= (2 * length // WORD - 1 if code else length)).mapInArrow(_anchor_rows(length, gram, code), f"doc_id {kind}, hash long, pos long, left int, right int, key long, around long")
     places = C.Table(found, "anchors")
-    counted = C.Table(places.df.groupBy("key", "around").agg(F.count("*").alias("n"), F.min(F.struct("hash", "doc_id", "pos", "left", "right")).alias("one")), "around")
+    # of each surroundings any one place: firsts of plain columns, all of one row, are hashed where a least struct would be sorted
+    counted = C.Table(places.df.groupBy("key", "around").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("hash", "doc_id", "pos", "left", "right"))), "around")
     # a written side, so that a string with very many surroundings is plain shuffled rows, which adaptive skew joins split
     keys = C.Table(counted.df.groupBy("key").agg(F.count("*").alias("d"), F.min("n").alias("least")).where("d > 1 and least = 1").select("key", "d"), "keys")
-    wanted = counted.df.join(keys.df, "key").select("key", "around", "d", "one.*").groupBy("doc_id", "hash").agg(F.collect_list(F.struct("pos", "left", "right", "key", "around", "d")).alias("want"))
+    wanted = counted.df.join(keys.df, "key").groupBy("doc_id", "hash").agg(F.collect_list(F.struct("pos", "left", "right", "key", "around", "d")).alias("want"))
     wanted = wanted.select(F.col("doc_id").alias("__d"), F.col("hash").alias("__h"), "want")
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("hash") == F.col("__h"))).select("text", "want")
     fetched = C.Table(texts.mapInArrow(partial(_fetch, code=code), "key long, around long, d long, left int, bytes binary"), "fetched")
@@ -353,7 +354,7 @@ def repeats(docs: DataFrame, length: int = 400, gram: int = 200, group: int = 30
         every = C.Table(many.select("key", "around", "left", "bytes").mapInArrow(_windows(length, reach), "key long, around long, a int, w long, x long"), "windows").df
         twice = every.groupBy("key", "a", "w", "x").agg(F.count("*").alias("n")).where("n > 1").drop("n")
         solved = solved.unionByName(every.join(twice, ["key", "a", "w", "x"]).groupBy("key", "around").agg(F.min("a").alias("low"), F.max("a").alias("high")))
-    whole = counted.df.where((F.col("n") > 1) & (F.col("one.left") + F.col("one.right") >= length)).select("key", "around", F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"))
+    whole = counted.df.where((F.col("n") > 1) & (F.col("left") + F.col("right") >= length)).select("key", "around", F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"))
     single = counted.df.where("n = 1").select("key", "around")
     verdicts = C.Table(whole.unionByName(solved.join(single, ["key", "around"], "left_semi")), "verdicts")
     spans = places.df.join(verdicts.df, ["key", "around"]).select("doc_id", "hash", (F.col("pos") - F.coalesce("high", "left")).alias("start"), (F.col("pos") + F.coalesce(F.lit(length) - F.col("low"), "right")).alias("end"))
@@ -368,23 +369,36 @@ def passages(docs: DataFrame, words: int) -> DataFrame:
     return repeats(docs, WORD * words, WORD * (words // 2), code=True)
 
 
-def _in_bytes(text: bytes, spans) -> list[tuple[int, int]]:
+def _in_bytes(text: bytes, spans: np.ndarray) -> np.ndarray:
     """Spans of a coded text as spans of the text: whole words, and the white space after them."""
-    start, end = words_of(np.frombuffer(text, np.uint8))
-    after = [0, *start[1:].tolist(), len(text)]  # where the text goes on after so many words
-    return [(after[-(-a // WORD)], after[b // WORD]) for a, b in spans]
+    start, _ = words_of(np.frombuffer(text, np.uint8))
+    after = np.concatenate([[0], start[1:], [len(text)]])  # where the text goes on after so many words
+    return np.column_stack([after[-(-spans[:, 0] // WORD)], after[spans[:, 1] // WORD]])
 
 
-def _keep(text: memoryview, spans) -> tuple[list[tuple[int, int]], bytes]:
+def _runs(spans: np.ndarray) -> np.ndarray:
+    """Spans (start, end) as maximal runs, in order."""
+    if len(spans) < 2:
+        return spans
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(spans[:, 1])
+    new = np.flatnonzero(np.concatenate([[True], spans[1:, 0] > reach[:-1]]))
+    return np.column_stack([spans[new, 0], reach[np.append(new[1:], len(spans)) - 1]])
+
+
+def _keep(text: memoryview, spans: np.ndarray) -> tuple[np.ndarray, bytes]:
     """Maximal removed runs, and what remains."""
-    runs: list[list[int]] = []
-    for a, b in sorted(spans):
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], b)
-        else:
-            runs.append([a, b])
-    at = [0, *(x for r in runs for x in r), len(text)]
-    return [tuple(r) for r in runs], b"".join(text[a:b] for a, b in zip(at[::2], at[1::2], strict=True))
+    runs = _runs(spans)
+    at = [0, *runs.ravel().tolist(), len(text)]
+    return runs, b"".join(text[a:b] for a, b in zip(at[::2], at[1::2], strict=True))
+
+
+def _spans(column: pa.Array) -> list[np.ndarray]:
+    """Of each row the spans (start, end); a null has none."""
+    inner = column.values
+    pairs = np.column_stack([inner.field(k).to_numpy(zero_copy_only=False) for k in ("start", "end")]).astype(np.int64).reshape(-1, 2)
+    at, none = column.offsets.to_numpy().tolist(), column.is_null().to_pylist()
+    return [pairs[:0] if x else pairs[a:b] for a, b, x in zip(at[:-1], at[1:], none, strict=True)]
 
 
 def _joined(df: DataFrame, length: int, gram: int, words: int | None = None) -> tuple[DataFrame, str, str]:
@@ -400,25 +414,27 @@ def _joined(df: DataFrame, length: int, gram: int, words: int | None = None) ->
     return rows.join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(hashed)), "left").drop(doc, hashed, own), spans, coded_spans
 
 
-def _pairs(spans) -> list[tuple[int, int]]:
-    return [(s["start"], s["end"]) for s in spans or ()]
-
-
 def digest(df: DataFrame, length: int = 400, gram: int = 200, words: int = 51) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans; and n_passage_bytes, the bytes of strings of `words` words or
     more that also start anywhere else, however few their bytes (they are reported, not removed)."""
 
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i in range(batch.num_rows):
-                text = memoryview(batch["text"][i].as_buffer())
-                runs, kept = _keep(text, _pairs(batch[spans][i].as_py()))
-                told = _pairs(batch[coded_spans][i].as_py())
-                inside = sum(b - a for a, b in _keep(text, _in_bytes(text, told))[0]) if told else 0
-                rows.append({"doc_id": batch["doc_id"][i].as_py(), "n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(runs), "kept_sha256": hashlib.sha256(kept).hexdigest(), "spans": [{"start": a, "end": b} for a, b in runs], "n_passage_bytes": inside})
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", batch.schema.field("doc_id").type), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", span), ("n_passage_bytes", pa.int64())]))
+            out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes")}
+            every = []
+            for text, plain, coded in zip((t.as_buffer() for t in batch["text"]), _spans(batch[spans]), _spans(batch[coded_spans]), strict=True):
+                text = memoryview(text)
+                runs, kept = _keep(text, plain)
+                told = _runs(_in_bytes(text, coded)) if len(coded) else coded
+                for k, v in zip(out, (len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), int((told[:, 1] - told[:, 0]).sum())), strict=True):
+                    out[k].append(v)
+                every.append(runs)
+            flat = np.concatenate(every) if every else np.zeros((0, 2), np.int64)
+            at = np.concatenate([[0], np.cumsum([len(r) for r in every], dtype=np.int64)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["start", "end"]))
+            yield pa.record_batch([batch["doc_id"], *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept_sha256"], pa.string()), lists.cast(span), pa.array(out["n_passage_bytes"], pa.int64())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "n_passage_bytes"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
     rows, spans, coded_spans = _joined(df.select("doc_id", "text"), length, gram, words)
@@ -432,16 +448,17 @@ def remove(df: DataFrame, length: int = 400, gram: int = 200, words: int | None
 
     names = list(df.columns)
 
-    def cut(text: str | None, plain, coded) -> str | None:
-        if text is None or not (plain or coded):
-            return text
-        raw = text.encode()
-        return _keep(memoryview(raw), _pairs(plain) + (_in_bytes(raw, _pairs(coded)) if coded else []))[1].decode("utf-8", "ignore")
+    def cut(text: pa.StringScalar, plain: np.ndarray, coded: np.ndarray) -> str | None:
+        if not text.is_valid or not (len(plain) or len(coded)):
+            return text.as_py()
+        raw = text.as_buffer()
+        every = np.concatenate([plain, _in_bytes(raw, coded)]) if len(coded) else plain
+        return _keep(memoryview(raw), every)[1].decode("utf-8", "ignore")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            told = batch[coded_spans].to_pylist() if words else [None] * batch.num_rows
-            texts = [cut(*x) for x in zip(batch["text"].to_pylist(), batch[spans].to_pylist(), told, strict=True)]
+            told = _spans(batch[coded_spans]) if words else [np.zeros((0, 2), np.int64)] * batch.num_rows
+            texts = [cut(*x) for x in zip(batch["text"], _spans(batch[spans]), told, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch[c] for c in names], names=names)
 
     rows, spans, coded_spans = _joined(df, length, gram, words)
