@@ -107,3 +107,17 @@ def gradient_pieces(df: DataFrame, by: str = "line_id", least: float = 0.0) -> D
         return pd.DataFrame([(name, int(pos[a]), int(pos[b]), float("nan") if unknown else s / n if n else 0.0) for a, b, n, s, unknown in whole], columns=[by, "first", "last", "value"])
 
     return df.groupBy(by).applyInPandas(cut, f"{by} {df.schema[by].dataType.simpleString()}, first int, last int, value double")
+
+
+def strength_at(plan: DataFrame, asked: DataFrame, name: str = "name_id", frame: str = "frame", value: str = "strength") -> DataFrame:
+    """A planned strength for each (name, frame) asked for; 0 where the plan has none."""
+    found = plan.select(name, frame, F.col(value).alias("strength"))
+    return asked.join(found, [name, frame], "left").withColumn("strength", F.coalesce("strength", F.lit(0.0)))
+
+
+def path_lengths(df: DataFrame, by: str, order: str, x: str, y: str) -> DataFrame:
+    """Vertices with `along`, the length of their line up to them, and `length`, that of all of it."""
+    mine = W.partitionBy(by).orderBy(order)
+    step = F.hypot(F.col(x) - F.lag(x).over(mine), F.col(y) - F.lag(y).over(mine))
+    rows = df.withColumn("__d", F.coalesce(step, F.lit(0.0)))
+    return rows.withColumns({"along": F.sum("__d").over(mine.rowsBetween(W.unboundedPreceding, 0)), "length": F.sum("__d").over(W.partitionBy(by))}).drop("__d")

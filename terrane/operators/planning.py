@@ -142,3 +142,74 @@ def by_source(ids: DataFrame, last: str = "glo30") -> DataFrame:
 def latest(matches: DataFrame, by: list[str]) -> DataFrame:
     """The preferred match of each key: better rank, then nearer."""
     return matches.withColumn("__r", F.row_number().over(W.partitionBy(*by).orderBy("rank", "distance_m"))).where("__r = 1").drop("__r")
+
+
+def zoom_range(refs: DataFrame, by: list[str]) -> DataFrame:
+    """The least and most zoom of tile references (z) by key."""
+    return refs.groupBy(*by).agg(F.min("z").alias("z0"), F.max("z").alias("z1"))
+
+
+def cap_areas(areas: DataFrame, archives: DataFrame) -> DataFrame:
+    """areas (w, s, e, n, max_zoom) as each archive (archive, aw, as, ae, an, lo, hi) is asked for them: no deeper than it goes, inside
+    its bounds, none that ends above its first zoom.  Bounds that are null take all.  Archives are a list, checked to be short."""
+    if archives.count() > 1000:
+        raise ValueError("cap_areas takes a list of archives, 1000 at most")
+    pairs = areas.join(F.broadcast(archives), F.col("max_zoom") >= F.col("lo"))
+    open_ = F.col("aw").isNull()
+    touches = (F.col("e") > F.col("aw")) & (F.col("w") < F.col("ae")) & (F.col("n") > F.col("a_s")) & (F.col("s") < F.col("an"))
+    inside = pairs.where(open_ | touches)
+    cut = {"w": F.greatest("w", "aw"), "s": F.greatest("s", "a_s"), "e": F.least("e", "ae"), "n": F.least("n", "an"), "max_zoom": F.least("max_zoom", "hi")}
+    return inside.withColumns(cut).drop("aw", "a_s", "ae", "an", "lo", "hi")
+
+
+def shortfall(areas: DataFrame, cells: DataFrame, by: str, deepest: int, cell_zoom: int = CELL_ZOOM) -> DataFrame:
+    """What a terrain store lacks for areas drawn at `map_zoom`: for each the zoom that it is asked at (one above the map's, no deeper
+    than the archive), wanted and held tiles.  An area's tiles are counted by their cells, not one by one."""
+    zoom = F.least(F.greatest(F.col("map_zoom"), F.lit(1)) - 1, F.lit(deepest))
+    asked = areas.withColumn("zoom", zoom)
+    x0, x1 = M.span(M.world_x(F.col("w")), M.world_x(F.col("e")), F.col("zoom"))
+    y0, y1 = M.span(M.world_y(F.col("n")), M.world_y(F.col("s")), F.col("zoom"))
+    asked = asked.withColumns({"x0": x0, "x1": x1, "y0": y0, "y1": y1, "up": F.greatest(F.col("zoom") - cell_zoom, F.lit(0))})
+    # a cell holds the tiles of the rectangle that lie in it; a zoom above the cells' has tiles wider than a cell
+    deep = asked.where(F.col("zoom") >= cell_zoom)
+    shift = lambda c, up="up": F.expr(f"shiftright({c}, {up})")
+    grid = deep.withColumn("x", F.explode(F.sequence(shift("x0"), shift("x1")))).withColumn("y", F.explode(F.sequence(shift("y0"), shift("y1"))))
+    side = F.pow(F.lit(2), F.col("up")).cast("long")
+    across = lambda c, a, b: F.least(F.col(b), F.col(c) * side + side - 1) - F.greatest(F.col(a), F.col(c) * side) + 1
+    grid = grid.withColumn("tiles", across("x", "x0", "x1") * across("y", "y0", "y1")).join(cells.select("x", "y", "complete", "zoom_max"), ["x", "y"], "left")
+    full = F.coalesce(F.col("complete") & (F.col("zoom_max") >= F.col("zoom")), F.lit(False))
+    held = grid.groupBy(by).agg(F.sum(F.when(full, F.col("tiles")).otherwise(0)).alias("held"))
+    out = asked.withColumn("wanted", (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)).join(held, by, "left")
+    return out.select(by, "w", "s", "e", "n", "zoom", "wanted", F.coalesce("held", F.lit(0)).alias("held"))
+
+
+def shortfall_total(parts: DataFrame, by: list[str]) -> DataFrame:
+    """Shortfalls summed: bounds around all, the deepest zoom, and whether any lacks a tile."""
+    edges = [F.min("w").alias("w"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("n").alias("n")]
+    return parts.groupBy(*by).agg(*edges, F.max("zoom").alias("zoom"), F.sum("wanted").alias("wanted"), F.sum("held").alias("held"), F.bool_or(F.col("held") < F.col("wanted")).alias("lacking"))
+
+
+def settle(cells: DataFrame, planned: DataFrame) -> DataFrame:
+    """cells (x, y, complete, zoom_max) after a plan's cells (x, y, depth) are marked as complete to their depth, whatever the archive
+    had; cells that were not known are added, and none becomes shallower."""
+    both = cells.join(planned.groupBy("x", "y").agg(F.max("depth").alias("depth")), ["x", "y"], "full")
+    done = F.col("depth").isNotNull()
+    return both.select("x", "y", (done | F.coalesce("complete", F.lit(False))).alias("complete"), F.greatest("zoom_max", "depth").alias("zoom_max"))
+
+
+def slice_out(tiles: DataFrame, ranges: DataFrame, by: str) -> DataFrame:
+    """tiles (offset, length) of each group with the fetched range (range_offset, range_length) that holds them and where in it they
+    begin.  Ranges of a group neither overlap nor touch, so a tile's is the last that begins at or before it: a window over both,
+    not an interval join."""
+    none = F.lit(None).cast("long")
+    rows = ranges.select(by, F.col("range_offset").alias("at"), F.lit(0).alias("kind"), "range_offset", "range_length", none.alias("length"))
+    rows = rows.unionByName(tiles.select(by, F.col("offset").alias("at"), F.lit(1).alias("kind"), none.alias("range_offset"), none.alias("range_length"), F.col("length").cast("long").alias("length")))
+    last = W.partitionBy(by).orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
+    held = rows.withColumn("r", F.last(F.when(F.col("kind") == 0, F.struct("range_offset", "range_length")), True).over(last)).where("kind = 1")
+    fits = F.col("at") + F.col("length") <= F.col("r.range_offset") + F.col("r.range_length")
+    return held.select(by, F.col("at").alias("offset"), "length", F.when(fits, F.col("r.range_offset")).alias("range_offset"), F.when(fits, F.col("at") - F.col("r.range_offset")).alias("start"))
+
+
+def tiles_seen(frames: DataFrame) -> DataFrame:
+    """The different tiles (z, x, y) that frames show."""
+    return frames.select("z", "x", "y").distinct()

@@ -92,9 +92,9 @@ def levels(points: DataFrame, areas: DataFrame, by: str, wanted: list[str]) -> D
     return out.select(by, "level", "name", F.when(F.col("name").isNotNull(), "Inside").when(F.col("__n") > 0, "Outside").otherwise("NoData").alias("containment"))
 
 
-def nearest(points: DataFrame, features: DataFrame, by: str, cap: float, k: int = 1, rank: Column | None = None, grid: float = 2.0, tie: str = "feature_id") -> DataFrame:
-    """The k best features (lat, lon) within cap metres of each point: lower rank, then nearer (to 0.1 m), then `tie`.
-    Points look up every grid square that the cap's circle can touch, around the antimeridian and the poles too."""
+def within(points: DataFrame, features: DataFrame, by: str, cap: float, grid: float = 2.0) -> DataFrame:
+    """Points by the features (lat, lon) within cap metres, with raw_m and distance_m (to 0.1 m).  Points look up every grid square
+    that the cap's circle can touch, around the antimeridian and the poles too."""
     deg = cap / geo.METRES_DEGREE * 1.01
     lat = F.col("lat")
     row = lambda v: F.floor((v + 90.0) / grid).cast("int")
@@ -107,7 +107,12 @@ def nearest(points: DataFrame, features: DataFrame, by: str, cap: float, k: int
     there = features.withColumnsRenamed({"lat": "f_lat", "lon": "f_lon"})
     there = there.withColumns({"__r": row(F.col("f_lat")), "__c": F.pmod(F.floor((F.col("f_lon") + 180.0) / grid), F.lit(columns)).cast("int")})
     pairs = squares.join(there, ["__r", "__c"]).withColumn("raw_m", geo.haversine(lat, F.col("lon"), F.col("f_lat"), F.col("f_lon"))).where(F.col("raw_m") <= cap)
-    pairs = pairs.withColumns({"distance_m": F.round("raw_m", 1), "rank": rank if rank is not None else F.lit(0)}).drop("__r", "__c")
+    return pairs.withColumn("distance_m", F.round("raw_m", 1)).drop("__r", "__c")
+
+
+def nearest(points: DataFrame, features: DataFrame, by: str, cap: float, k: int = 1, rank: Column | None = None, grid: float = 2.0, tie: str = "feature_id") -> DataFrame:
+    """The k best features within cap metres of each point: lower rank, then nearer (to 0.1 m), then `tie`."""
+    pairs = within(points, features, by, cap, grid).withColumn("rank", rank if rank is not None else F.lit(0))
     order = [F.col("rank"), F.col("distance_m"), F.col("raw_m"), F.col(tie)]
     return pairs.withColumn("nth", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("nth") <= k)
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,24 +11,7 @@ from ..functions import view as V
 from ..operators import draw, inspect, lines, names, ordered, osm, planning, spatial
 from . import derive as D
 from . import sql as S
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r(c, n: int = 9):
-    return F.round(c, n)
-
+from .registry import ORACLE, QUERIES, query, r
 
 # --- projection and tiles ---------------------------------------------------------------------------------------------
 
@@ -573,3 +553,8 @@ def rendered_views(spark, d):
     shape = lambda kind, ord_, red: b.select(F.col("file_pos").alias("view_id"), "width", "height", F.lit(ord_).alias("ord"), F.lit(kind).alias("kind"), F.array(ring).alias("rings"), F.lit(red).alias("red"), F.lit(90).alias("green"), F.lit(60).alias("blue"), F.lit(2.0).alias("stroke"))
     got = draw.render(shape("fill", 0, 220).union(shape("stroke", 1, 20)))
     return got.select("view_id", F.length("png").alias("bytes"), F.md5("png").alias("digest"))
+
+
+from . import placing, styling  # noqa: E402  they add their queries to the table
+
+__all__ = ["ORACLE", "QUERIES", "placing", "styling"]
