@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Into how many shares tag_samples deals a key's values.
+SALTS = 64
+
 
 def layer_counts(features: DataFrame) -> DataFrame:
     """Features (layer, geom_type 1 point, 2 line, 3 polygon, vertices) by layer, and a total (layer null): one rollup."""
@@ -15,11 +18,17 @@ def layer_counts(features: DataFrame) -> DataFrame:
 
 def tag_samples(tags: DataFrame, by: str, first: int = 6) -> DataFrame:
     """tags (layer, key, kind, value, pos): for each key its kind or 'mixed', features, distinct values, and the first
-    distinct values in feature order."""
+    distinct values in feature order.  The firsts are found in two steps, the first ones of each of SALTS shares of a key's values and
+    of these the first ones, so that a key of very many values is no one task's work."""
     firsts = tags.groupBy(by, "key", "value").agg(F.min("pos").alias("pos"), F.count("*").alias("n"), F.min("kind").alias("a"), F.max("kind").alias("z"))
-    nth = firsts.withColumn("i", F.row_number().over(W.partitionBy(by, "key").orderBy("pos", "value")))
-    sample = F.array_sort(F.collect_list(F.when(F.col("i") <= first, F.struct("i", "value"))))
-    return nth.groupBy(by, "key").agg(F.when(F.min("a") == F.max("z"), F.min("a")).otherwise("mixed").alias("kind"), F.sum("n").alias("features"), F.count("*").alias("distinct_values"), F.array_join(F.transform(sample, lambda s: s["value"]), ",").alias("sample"))
+    counts = firsts.groupBy(by, "key").agg(F.when(F.min("a") == F.max("z"), F.min("a")).otherwise("mixed").alias("kind"), F.sum("n").alias("features"), F.count("*").alias("distinct_values"))
+    share = firsts.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)))
+    least = lambda df, *keys: df.withColumn("i", F.row_number().over(W.partitionBy(*keys).orderBy("pos", "value"))).where(F.col("i") <= first)
+    some = least(least(share, by, "key", "salt"), by, "key").where("value is not null")
+    lists = some.groupBy(by, "key").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("s"))
+    sample = F.array_join(F.transform("s", lambda s: s["value"]), ",")
+    same = counts[by].eqNullSafe(lists[by]) & counts["key"].eqNullSafe(lists["key"])
+    return counts.join(lists, same, "left").select(counts[by], counts["key"], "kind", "features", "distinct_values", F.coalesce(sample, F.lit("")).alias("sample"))
 
 
 def directory_summary(directory: DataFrame) -> DataFrame:

@@ -30,22 +30,28 @@ def without_repeats(derived: DataFrame, listed: DataFrame) -> DataFrame:
 def place_points(features: DataFrame, near_m: float = 1000.0) -> DataFrame:
     """Named localities (name, lat, lon, pos), one of those of a name within 1 km of one kept.  Which stay depends on order:
     a name is a group, and groups are small."""
-    import numpy as np
+    import math
+
     import pandas as pd
 
+    band = near_m / geo.METRES_DEGREE * 1.01  # degrees of latitude within which a point can be near
+
+    def far(lat: float, lon: float, others: list[tuple[float, float]]) -> bool:
+        for a, b in others:
+            h = math.sin(math.radians(lat - a) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(a)) * math.sin(math.radians(lon - b) / 2) ** 2
+            if 2 * geo.RADIUS * math.asin(min(1.0, math.sqrt(h))) <= near_m:
+                return False
+        return True
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        kept: list[tuple[float, float]] = []
+        kept: dict[int, list[tuple[float, float]]] = {}  # by band of latitude: only three bands can hold a near one
         stay = []
         for lat, lon in zip(pdf["lat"], pdf["lon"], strict=True):
-            far = True
-            for a, b in kept:
-                p, q = np.radians([lat, a]), np.radians(lon - b)
-                h = np.sin((p[0] - p[1]) / 2) ** 2 + np.cos(p[0]) * np.cos(p[1]) * np.sin(q / 2) ** 2
-                far &= 2 * geo.RADIUS * np.arcsin(min(1.0, np.sqrt(h))) > near_m
-            stay.append(far)
-            if far:
-                kept.append((lat, lon))
+            k = math.floor(lat / band)
+            stay.append(all(far(lat, lon, kept.get(j, ())) for j in (k - 1, k, k + 1)))
+            if stay[-1]:
+                kept.setdefault(k, []).append((lat, lon))
         return pdf[stay]
 
     return features.where("name is not null and name <> ''").groupBy("name").applyInPandas(one, features.schema)
@@ -57,14 +63,16 @@ def plan(strengths: DataFrame, smooth: int, least_frames: int) -> DataFrame:
     return ordered.smoothed(strengths.join(lasting, "name_id", "left_semi"), "name_id", "frame", "alpha", smooth)
 
 
-def chains(edges: DataFrame, roots: DataFrame, most: int = 20) -> DataFrame:
-    """Shortest chains (root, node, steps) along directed edges (a, b): breadth first, each round's new nodes joined on."""
-    seen = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("steps"))
-    front = seen
-    for k in range(1, most + 1):
-        step = front.join(edges, front["node"] == edges["a"]).select("root", F.col("b").alias("node")).distinct().join(seen.select("root", "node"), ["root", "node"], "left_anti")
-        front = step.withColumn("steps", F.lit(k)).checkpoint() if step.sparkSession.sparkContext.getCheckpointDir() else step.withColumn("steps", F.lit(k))
-        if front.isEmpty():
-            break
-        seen = seen.union(front)
+def chains(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Shortest chains (root, node, steps) along directed edges (a, b): breadth first, each round's new nodes joined on, until a round
+    finds none.  With a checkpoint folder each round is written there, which cuts the lineage."""
+    seen = front = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("steps"))
+    context = roots.sparkSession.sparkContext
+    keep = (lambda df: df.checkpoint()) if context.getCheckpointDir() else (lambda df: df)
+    k = 0
+    while not front.isEmpty():
+        k += 1
+        step = front.join(edges, front["node"] == edges["a"]).select("root", F.col("b").alias("node")).distinct()
+        front = keep(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("steps", F.lit(k)))
+        seen = keep(seen.union(front))
     return seen

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Into how many ranges percentile_step cuts a key's values.
+RANGES = 1000
+
 
 def running_total(df: DataFrame, bucket: Column, order: list, value: str, out: str = "running") -> DataFrame:
     """A prefix sum over the whole table without sorting it in one task: sums of ordered buckets (few rows) are accumulated,
@@ -46,10 +49,22 @@ def total_change(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
 
 
 def percentile_step(df: DataFrame, by: str, value: str, percent: int = 95) -> DataFrame:
-    """The element at floor(n * percent / 100) of the sorted values, counted from 0."""
-    mine = W.partitionBy(by)
-    ranked = df.select(by, value).where(F.col(value).isNotNull()).withColumns({"__i": F.row_number().over(mine.orderBy(value)), "__n": F.count("*").over(mine)})
-    return ranked.where(F.col("__i") == F.least(F.floor(F.col("__n") * percent / 100) + 1, F.col("__n"))).select(by, F.col(value).alias("step"))
+    """The element at floor(n * percent / 100) of the sorted values, counted from 0.  Equal values are counted first, map side, and
+    each key is cut into ranges of its values whose totals tell which range holds the element: only that range is sorted, so a key
+    with very many values is no one task's work.  Values are whole or decimal numbers of some spread; the ranges are RANGES equal
+    steps between the key's least and greatest."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    ends = counts.groupBy(by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("__n"))
+    step = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * RANGES), F.lit(RANGES - 1))).otherwise(0)
+    ranged = counts.join(ends, by).withColumn("__r", step)
+    totals = ranged.groupBy(by, "__r").agg(F.sum("__c").alias("__t"), F.first("__n").alias("__n"))
+    want = F.least(F.floor(F.col("__n") * percent / 100), F.col("__n") - 1)
+    upto = F.sum("__t").over(W.partitionBy(by).orderBy("__r").rowsBetween(W.unboundedPreceding, 0))  # RANGES rows a key
+    held = totals.withColumns({"__w": want, "__to": upto}).where((F.col("__w") < F.col("__to")) & (F.col("__w") >= F.col("__to") - F.col("__t")))
+    inside = ranged.join(held.select(by, "__r", "__w", (F.col("__to") - F.col("__t")).alias("__from")), [by, "__r"])
+    upto = F.sum("__c").over(W.partitionBy(by).orderBy("__v").rowsBetween(W.unboundedPreceding, 0)) + F.col("__from")
+    found = inside.withColumn("__to", upto).where((F.col("__w") < F.col("__to")) & (F.col("__w") >= F.col("__to") - F.col("__c")))
+    return found.select(by, F.col("__v").alias("step"))
 
 
 def coalesce_ranges(df: DataFrame, by: list[str], max_gap: int = 64 << 10, max_request: int = 8 << 20) -> DataFrame:
@@ -96,8 +111,8 @@ def gradient_pieces(df: DataFrame, by: str = "line_id", least: float = 0.0) -> D
             else:
                 out.append([i, i + 1, span[i], 0 if unknown else value * span[i], unknown])
         whole: list[list] = []
-        for p in out:
-            end_of_run = p is out[-1] or out[out.index(p) + 1][4] != p[4]
+        for p, after in zip(out, [*out[1:], None], strict=True):
+            end_of_run = after is None or after[4] != p[4]
             if whole and end_of_run and not p[4] and not whole[-1][4] and p[2] < least:
                 q = whole[-1]
                 q[1], q[2], q[3] = p[1], q[2] + p[2], q[3] + p[3]

@@ -293,7 +293,13 @@ def coalesce_ranges(spark, d):
     return ordered.coalesce_ranges(t, ["grp"], 4096, 100_000)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PLAN}, r AS (SELECT grp, offset_ AS o, offset_ + length AS e, row_number() OVER (PARTITION BY grp ORDER BY offset_, length) AS i FROM p WHERE status = 'located'),
+f(grp, i, id, o, e) AS (SELECT grp, i, 1, o, e FROM r WHERE i = 1 UNION ALL SELECT grp, i + 1, CASE WHEN j THEN id ELSE id + 1 END, CASE WHEN j THEN o ELSE ro END, CASE WHEN j THEN greatest(e, re) ELSE re END
+ FROM (SELECT f.*, r.o AS ro, r.e AS re, r.o < f.e OR (r.o - f.e <= 65536 AND greatest(f.e, r.e) - f.o <= 8388608) AS j FROM f JOIN r ON r.grp = f.grp AND r.i = f.i + 1)),
+t AS (SELECT grp, sum(n)::BIGINT AS transfer, count(*) AS requests FROM (SELECT grp, id, max(e) - min(o) AS n FROM f GROUP BY 1, 2) GROUP BY 1),
+u AS (SELECT grp, sum(length)::BIGINT AS useful FROM (SELECT DISTINCT grp, offset_, length FROM p WHERE status = 'located') GROUP BY 1),
+c AS (SELECT grp, count(*) AS tiles, count(*) FILTER (status = 'held') AS held, count(*) FILTER (status = 'absent') AS absent, coalesce(sum(CASE WHEN status = 'located' THEN length END), 0)::BIGINT AS bytes FROM p GROUP BY 1)
+SELECT c.*, coalesce(useful, 0) AS useful, coalesce(transfer, 0) AS transfer, coalesce(requests, 0) AS requests, greatest(0, coalesce(transfer, 0) - coalesce(useful, 0)) AS waste FROM c LEFT JOIN t USING (grp) LEFT JOIN u USING (grp)""")
 def plan_totals(spark, d):
     return planning.totals(_plan(spark, d), ["grp"])
 
@@ -370,16 +376,21 @@ def running_total(spark, d):
     return ordered.running_total(e, F.date_trunc("hour", "ts"), ["ts", "event_id"], "cents").select("event_id", "running")
 
 
-@query()
+@query("""WITH v AS (SELECT user_id AS line_id, event_id, value, row_number() OVER q - 1 AS i, count(*) OVER (PARTITION BY user_id) - 1 AS segments, lead(value) OVER q AS next FROM events WINDOW q AS (PARTITION BY user_id ORDER BY event_id)),
+g AS (SELECT *, CASE WHEN segments % 4 > 0 AND segments > 4 THEN least(i // 4, segments // 4 - 1) ELSE i // 4 END AS piece FROM v WHERE i < segments)
+SELECT line_id, (min(i) + 1)::INT AS first, (max(i) + 2)::INT AS last, round(avg((value + next) / 2), 6) AS value FROM g GROUP BY line_id, piece""")
 def gradient_pieces(spark, d):
+    """Lines of segments of length 1 in pieces of 4; a shorter tail joins the piece before it."""
     e = D.read(spark, d, "events").select(F.col("user_id").alias("line_id"), F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).alias("pos"), F.lit(1.0).alias("span"), "value")
-    return ordered.gradient_pieces(e, "line_id", 4.0)
+    return ordered.gradient_pieces(e, "line_id", 4.0).withColumn("value", r(F.col("value"), 6))
 
 
 # --- names, text, colour ----------------------------------------------------------------------------------------------
 
-_FIND = """q AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS query FROM part UNION SELECT p_brand FROM part UNION SELECT n_name FROM nation UNION SELECT upper(p_name) FROM part), p AS (SELECT p_partkey AS place_id, [p_name, p_brand] AS aliases FROM part),
-m AS (SELECT query, place_id, CASE WHEN lower(query) IN (lower(aliases[1]), lower(aliases[2])) THEN 'exact' ELSE 'near' END AS match FROM q, p WHERE lower(query) IN (lower(aliases[1]), lower(aliases[2])) OR starts_with(lower(aliases[1]), lower(query) || ' ') OR starts_with(lower(aliases[2]), lower(query) || ' '))"""
+_FIND = """q AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS query FROM part UNION SELECT p_brand FROM part UNION SELECT n_name FROM nation UNION SELECT upper(p_name) FROM part),
+al AS (SELECT place_id, lower(unnest(aliases)) AS a FROM (SELECT p_partkey AS place_id, [p_name, p_brand] AS aliases FROM part)),
+ex AS (SELECT DISTINCT query, place_id FROM q JOIN al ON a = lower(query)), nr AS (SELECT DISTINCT query, place_id FROM q JOIN al ON split_part(a, ' ', 1) = split_part(lower(query), ' ', 1) AND starts_with(a, lower(query) || ' ')),
+m AS (SELECT query, place_id, 'exact' AS match FROM ex UNION ALL SELECT query, place_id, 'near' FROM (SELECT * FROM nr EXCEPT SELECT * FROM ex))"""
 
 
 @query(f"WITH {_FIND} SELECT query, place_id, match FROM m WHERE match = 'exact' OR query NOT IN (SELECT query FROM m WHERE match = 'exact')")
@@ -468,25 +479,32 @@ def elevation_shade(spark, d):
     return D.read(spark, d, "part").select("p_partkey", colour.terrarium(k % 256, s, k % 64).cast("double").alias("metres"), r(colour.exaggeration(s % 20), 6).alias("raised"), r(colour.hillshade((s % 11 - 5) / F.lit(10.0), (k % 13 - 6) / F.lit(10.0)), 6).alias("shade"))
 
 
-# --- groups that are folds: no SQL ------------------------------------------------------------------------------------
+# --- groups that are folds: recursive SQL, a row of each group at a time ----------------------------------------------
 
 
-@query()
+@query(f"""WITH RECURSIVE v AS (SELECT p_name AS name, p_partkey % 50 / 1e2 AS lat, p_size / 2e2 AS lon, p_partkey AS pos, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS i FROM part),
+k(name, i, keep, taken) AS (SELECT name, i, true, [[lat, lon]] FROM v WHERE i = 1 UNION ALL SELECT name, i, far, CASE WHEN far THEN list_append(taken, [lat, lon]) ELSE taken END
+ FROM (SELECT v.*, taken, len(list_filter(taken, lambda t : {S.haversine('v.lat', 'v.lon', 't[1]', 't[2]')} <= 1000)) = 0 AS far FROM k JOIN v ON v.name = k.name AND v.i = k.i + 1))
+SELECT name, lat, lon, pos FROM v JOIN k USING (name, i) WHERE keep""")
 def place_points(spark, d):
     p = D.read(spark, d, "part").select(F.col("p_name").alias("name"), (F.col("p_partkey") % 50 / F.lit(100.0)).alias("lat"), (F.col("p_size") / F.lit(200.0)).alias("lon"), F.col("p_partkey").alias("pos"))
     return names.place_points(p)
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT p_brand AS view_id, p_partkey AS key, p_partkey * 37 % 500 AS x0, p_partkey * 91 % 300 AS y0, p_partkey * 37 % 500 + 60 AS x1, p_partkey * 91 % 300 + 12 AS y1,
+ row_number() OVER (PARTITION BY p_brand ORDER BY p_size % 3 DESC, p_size DESC, p_partkey) AS i FROM part),
+k(view_id, i, keep, taken) AS (SELECT view_id, i, true, [[x0, y0, x1, y1]] FROM c WHERE i = 1 UNION ALL SELECT view_id, i, free, CASE WHEN free THEN list_append(taken, [x0, y0, x1, y1]) ELSE taken END
+ FROM (SELECT c.*, taken, len(list_filter(taken, lambda t : x0 < t[3] AND t[1] < x1 AND y0 < t[4] AND t[2] < y1)) = 0 AS free FROM k JOIN c ON c.view_id = k.view_id AND c.i = k.i + 1))
+SELECT view_id, key FROM c JOIN k USING (view_id, i) WHERE keep""")
 def place_labels(spark, d):
     k, s = F.col("p_partkey"), F.col("p_size")
     c = D.read(spark, d, "part").select(F.col("p_brand").alias("view_id"), k.alias("key"), (s % 3).alias("priority"), s.alias("rank"), k.alias("nth"), (k * 37 % 500).alias("x0"), (k * 91 % 300).alias("y0"), (k * 37 % 500 + 60).alias("x1"), (k * 91 % 300 + 12).alias("y1"))
     return inspect.place_labels(c)
 
 
-@query()
+@query("""SELECT s_suppkey AS id, 1 AS outlines, 1 AS holes, 0 AS orphans, 0 AS open_chains, 0 AS wrapped, 4 AS vertices, 2e0 AS twice_outline, -0.04e0 AS twice_hole FROM supplier""")
 def assembled_boundaries(spark, d):
-    """Relations of two half outlines and, for some, a hole: through resolve and assemble."""
+    """Relations of two half outlines, a degree square, and a hole in it: through resolve and assemble."""
     n = D.read(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), D.lat(F.col("s_suppkey")).alias("la"), D.lon(F.col("s_suppkey")).alias("lo"))
     corners = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(y).alias("y"), F.lit(x).alias("x")) for i, (y, x) in enumerate([(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0), (0.4, 0.4), (0.4, 0.6), (0.6, 0.6)]))))
     nodes = n.withColumn("c", corners).select((F.col("k") * 10 + F.col("c.i")).alias("id"), (F.col("la") + F.col("c.y")).alias("lat"), (F.col("lo") + F.col("c.x")).alias("lon"))
@@ -494,7 +512,10 @@ def assembled_boundaries(spark, d):
     ways = n.withColumn("w", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), v.alias("refs")) for i, v in enumerate([refs(0, 1, 2), refs(2, 3, 0), refs(4, 5, 6, 4)]))))).select((F.col("k") * 10 + F.col("w.i")).alias("id"), "w.refs")
     member = lambda i, role: F.struct(F.lit("way").alias("type"), (F.col("k") * 10 + i).alias("id"), F.lit(role).alias("role"))
     rel = n.select(F.col("k").alias("id"), F.array(member(0, "outer"), member(1, "outer"), member(2, "inner")).alias("members"))
-    return osm.assemble(osm.resolve(rel, ways, nodes)).select("id", "outlines", "holes", "orphans", "open_chains", "wrapped")
+    out = osm.assemble(osm.resolve(rel, ways, nodes))
+    flat = lambda ring: F.transform(ring, lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
+    outline = F.col("parts")[0]["outline"]
+    return out.select("id", "outlines", "holes", "orphans", "open_chains", "wrapped", F.size(outline).alias("vertices"), r(geo.shoelace(flat(outline)), 6).alias("twice_outline"), r(geo.shoelace(flat(F.col("parts")[0]["holes"][0])), 6).alias("twice_hole"))
 
 
 # --- the flagship -----------------------------------------------------------------------------------------------------
@@ -538,7 +559,13 @@ def tiles_under_views(spark, d):
     return V.tiles_under(_views(spark, d)).select("point_id", "tx", "ty")
 
 
-@query()
+@query(f"""WITH {D.WAYS.split("dist AS")[0].split("seg AS")[0].rstrip().rstrip(",")},
+p AS (SELECT way_id, i, (vlon - lon) * 1000.0::DOUBLE AS x, (vlat - lat) * 1000.0::DOUBLE AS y FROM vx), g AS (SELECT *, lead(x) OVER q - x AS dx, lead(y) OVER q - y AS dy FROM p WINDOW q AS (PARTITION BY way_id ORDER BY i)),
+h AS (SELECT *, sqrt(dx * dx + dy * dy) AS size, greatest(0e0, CASE WHEN dx <> 0 THEN least((-96.5 - x) / dx, (50 - x) / dx) ELSE 0 END, CASE WHEN dy <> 0 THEN least((-50 - y) / dy, (50 - y) / dy) ELSE 0 END) AS lo,
+ least(1e0, CASE WHEN dx <> 0 THEN greatest((-96.5 - x) / dx, (50 - x) / dx) ELSE 1 END, CASE WHEN dy <> 0 THEN greatest((-50 - y) / dy, (50 - y) / dy) ELSE 1 END) AS hi, (dx <> 0 OR x BETWEEN -96.5 AND 50) AND (dy <> 0 OR y BETWEEN -50 AND 50) AS able FROM g WHERE dx IS NOT NULL),
+w AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY way_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS walked, able AND lo <= hi AND NOT (lo = hi AND size > 0) AS part FROM h),
+o AS (SELECT *, part AND NOT coalesce(lag(part AND hi = 1) OVER q AND lo = 0, false) AS fresh FROM w WINDOW q AS (PARTITION BY way_id ORDER BY i)), n AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY way_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM o WHERE part)
+SELECT way_id, round(max(CASE WHEN fresh THEN walked + lo * size END), 3) AS start, (count(*) + 1)::INT AS vertices FROM n GROUP BY way_id, run""")
 def clipped_lines(spark, d):
     """Each order's way against a square about its customer."""
     w = D.ways(spark, d).select("way_id", F.transform("line", lambda p: F.struct(((p["lon"] - F.col("lon")) * 1000.0).alias("x"), ((p["lat"] - F.col("lat")) * 1000.0).alias("y"))).alias("points"))
