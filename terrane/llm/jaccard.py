@@ -202,8 +202,9 @@ def _classes(df: DataFrame, threshold: float, n: int, tolerance: float, block: i
     keys = texts.df.select("digest", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.min("digest").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
     hoods = components(keys.join(shared, "band").select(F.col("digest").alias("u"), F.col("least").alias("v")))
-    sizes = hoods.groupBy("component").agg(F.count("*").alias("size"))
-    members = C.Table(hoods.join(sizes, "component").join(texts.df.select(F.col("digest").alias("node"), "copies", "first"), "node"), "members")
+    # a written side: a large neighbourhood's rows are then plain shuffled rows, which adaptive skew joins split
+    sizes = C.Table(hoods.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+    members = C.Table(hoods.join(sizes.df, "component").join(texts.df.select(F.col("digest").alias("node"), "copies", "first"), "node"), "members")
     total = members.df.count()
     blocks = F.ceil(F.col("size") / block).cast("int")
     few = F.col("size") <= block
@@ -222,7 +223,7 @@ def _classes(df: DataFrame, threshold: float, n: int, tolerance: float, block: i
     info = texts.df.select("digest", "copies", "first").join(roots.select(F.col("node").alias("digest"), "component"), "digest", "left").join(links, "digest", "left")
     info = info.withColumn("class", F.coalesce("component", "digest"))
     named = C.Table(info.join(info.groupBy("class").agg(F.min("first").alias("class_first")), "class").select("digest", "copies", "texts", "docs", "first", "class_first"), "classes")
-    for t in (texts, members, found):
+    for t in (texts, sizes, members, found):
         t.drop()
     return seen.df.select("doc_id", "digest", "hash"), named.df
 
