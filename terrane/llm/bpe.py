@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 #: Marks that close a word; after a letter or number a run of them is a piece of its own.
 MARKS = ".,;:!?)]}*%#&$\"'"
 #: Words that a worker keeps, and bytes of text to a call.
-KEPT, CALL = 700_000, 4 << 20
+KEPT, CALL = 850_000, 6 << 20
 
 
 class Encoder:
