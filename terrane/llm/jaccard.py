@@ -210,7 +210,7 @@ def _classes(df: DataFrame, threshold: float, n: int, tolerance: float, block: i
     few = F.col("size") <= block
     dealt = (
         members.df.select("node", "component", "size", "copies", F.col("first.doc_id").alias("own_id"), F.col("first.hash").alias("own_hash"))
-        .join(docs, F.expr("own_id <=> doc_id and own_hash = hash"))
+        .join(docs.hint("merge"), F.expr("own_id <=> doc_id and own_hash = hash"))  # one way at every size: no broadcast of members
         .withColumn("block", F.when(few, 0).otherwise(F.pmod(F.xxhash64("node"), blocks)).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(few, 0).otherwise(blocks - 1))))
         .select(F.col("node").alias("digest"), F.col("component").alias("hood"), "size", "copies", "block", "text", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
