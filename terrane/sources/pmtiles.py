@@ -1,13 +1,16 @@
 """PMTiles version 3 archives as a Spark data source.
 
 spark.dataSource.register(PmtilesSource); spark.read.format("pmtiles").load(path) gives a row a tile run; option("view",
-"directory") leaves the bytes unread.  The header and root directory are read on the driver (at most 16 KiB); each leaf
+"directory") leaves the bytes unread, option("raw", "true") leaves them as stored, and option("tile", "z/x/y") or zooms leave all
+else unread.  The header and root directory are read on the driver (at most 16 KiB); each leaf
 directory is a partition, read and expanded by its own task."""
 
 from __future__ import annotations
 
 import json
+import re
 import struct
+import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -85,6 +88,33 @@ def encode_directory(entries: list[tuple[int, int, int, int]]) -> bytes:
     return b"".join(map(wire.put, out))
 
 
+def first_id(z: int) -> int:
+    """The id of a zoom's first tile."""
+    return (4**z - 1) // 3
+
+
+def tile_id(z: int, x: int, y: int) -> int:
+    """The place of a tile along the zooms' curves: zxy() the other way round."""
+    d, k = 0, 1 << z >> 1
+    while k:
+        rx, ry = int(x & k > 0), int(y & k > 0)
+        d += k * k * (3 * rx ^ ry)
+        x, y = x & (k - 1), y & (k - 1)
+        if not ry:
+            if rx:
+                x, y = k - 1 - x, k - 1 - y
+            x, y = y, x
+        k >>= 1
+    return first_id(z) + d
+
+
+def tile(spark, path: str, z: int, x: int, y: int, raw: bool = False) -> bytes | None:
+    """One tile's bytes, or None where the archive has none: the header, the directories on its way, and the tile are fetched."""
+    spark.dataSource.register(PmtilesSource)
+    found = spark.read.format("pmtiles").option("tile", f"{z}/{x}/{y}").option("raw", str(raw)).load(path).select("data").collect()
+    return bytes(found[0]["data"]) if found else None
+
+
 def zxy(tid: int) -> tuple[int, int, int]:
     z, first = 0, 0
     while tid >= first + 4**z:
@@ -101,15 +131,37 @@ def zxy(tid: int) -> tuple[int, int, int]:
     return z, x, y
 
 
+_RANGE = re.compile(r"\s*bytes\s+(\d+)\s*-\s*(\d+)\s*/\s*(\d+|\*)\s*", re.I)
+
+
+class _SameHost(urllib.request.HTTPRedirectHandler):
+    """Redirects stay on their host and never leave https."""
+
+    def redirect_request(self, req, fp, code, msg, headers, newurl):
+        old, new = urllib.parse.urlsplit(req.full_url), urllib.parse.urlsplit(newurl)
+        if old.hostname != new.hostname or (old.scheme == "https" and new.scheme != "https"):
+            raise OSError(f"a redirect to another host or off https: {new.hostname}")
+        return super().redirect_request(req, fp, code, msg, headers, newurl)
+
+
 def opener(path: str):
-    """read(offset, length) of a local file or an http(s) URL that serves ranges."""
+    """read(offset, length) of a local file or an http(s) URL that serves ranges.  A server's answer must be the range asked for, and
+    the object must not change its size between reads."""
     if path.startswith(("http://", "https://")):
+        web, size = urllib.request.build_opener(_SameHost), []
 
         def read(offset: int, length: int) -> bytes:
             ask = urllib.request.Request(path, headers={"Range": f"bytes={offset}-{offset + length - 1}"})
-            with urllib.request.urlopen(ask, timeout=60) as got:
+            with web.open(ask, timeout=60) as got:
                 if got.status != 206:
                     raise OSError(f"the server does not serve ranges: {got.status}")
+                said = _RANGE.fullmatch(got.headers.get("Content-Range", ""))
+                if not said or int(said[1]) != offset or int(said[2]) >= offset + length:
+                    raise OSError(f"asked for {length} bytes at {offset}, the server says {got.headers.get('Content-Range')!r}")
+                if said[3] != "*":
+                    size[:] = size or [said[3]]
+                    if size[0] != said[3]:
+                        raise OSError("the archive changed its size while it was read")
                 return got.read(length)
     else:
         local = path.removeprefix("file://")
@@ -132,18 +184,36 @@ class Leaf(InputPartition):
 
 
 class PmtilesReader(DataSourceReader):
+    """Options: view; raw (bytes as stored); and what is read at all: tile (z/x/y) or tile_id for the entry that covers one tile,
+    least_zoom and most_zoom for some zooms.  Only the directories and tiles that these need are fetched."""
+
     def __init__(self, options: dict):
         self.path, self.view = options["path"], options.get("view", "tiles")
+        self.raw = options.get("raw", "false").lower() == "true"
+        self.covered = None  # the one tile that is asked for
+        self.low, self.high = first_id(int(options.get("least_zoom", 0))), first_id(int(options.get("most_zoom", 31)) + 1) - 1
+        if "tile" in options or "tile_id" in options:
+            self.covered = tile_id(*map(int, options["tile"].split("/"))) if "tile" in options else int(options["tile_id"])
+            self.low = self.high = self.covered
         read = opener(self.path)
         self.header = parse_header(read(0, HEADER))
         h = self.header
         self.root = decode_directory(expand(read(h["root_offset"], h["root_length"]), h["internal_compression"], DIRECTORY_MOST))
 
+    def _wanted(self, directory: np.ndarray) -> list[tuple]:
+        """Entries that hold ids asked for; a leaf goes on to the next entry."""
+        upto = np.append(directory["tile_id"][1:], 2**62)
+        last = np.where(directory["run_length"] > 0, directory["tile_id"] + directory["run_length"], upto) - 1
+        # without one tile in question an entry counts as its first id's row
+        first = last if self.covered is not None else np.where(directory["run_length"] > 0, directory["tile_id"], last)
+        return [tuple(map(int, e)) for e in directory[(directory["tile_id"] <= self.high) & (first >= self.low)]]
+
     def partitions(self):
         if self.view in ("header", "metadata"):
             return [Leaf()]
-        own = [tuple(map(int, e)) for e in self.root if e["run_length"]]
-        leaves = [Leaf(int(e["offset"]), int(e["length"])) for e in self.root if not e["run_length"]]
+        root = self._wanted(self.root)
+        own = [e for e in root if e[3]]
+        leaves = [Leaf(e[1], e[2]) for e in root if not e[3]]
         return [*(Leaf(entries=own[i : i + 512]) for i in range(0, len(own), 512)), *leaves] or [Leaf(entries=[])]
 
     def _entries(self, read, leaf: Leaf, depth: int = 1) -> Iterator[tuple]:
@@ -155,11 +225,11 @@ class PmtilesReader(DataSourceReader):
         h = self.header
         if leaf.offset + leaf.length > h["leaf_length"]:
             raise wire.Malformed("a leaf directory past its section")
-        for e in decode_directory(expand(read(h["leaf_offset"] + leaf.offset, leaf.length), h["internal_compression"], DIRECTORY_MOST)):
-            if e["run_length"]:
-                yield tuple(map(int, e))
+        for e in self._wanted(decode_directory(expand(read(h["leaf_offset"] + leaf.offset, leaf.length), h["internal_compression"], DIRECTORY_MOST))):
+            if e[3]:
+                yield e
             else:
-                yield from self._entries(read, Leaf(int(e["offset"]), int(e["length"])), depth + 1)
+                yield from self._entries(read, Leaf(e[1], e[2]), depth + 1)
 
     def read(self, partition: Leaf) -> Iterator[tuple]:
         read, h = opener(self.path), self.header
@@ -172,7 +242,9 @@ class PmtilesReader(DataSourceReader):
             for tid, offset, length, run in self._entries(read, partition):
                 if offset + length > h["data_length"]:
                     raise wire.Malformed("a tile past its section")
-                data = expand(read(h["data_offset"] + offset, length), h["tile_compression"], TILE_MOST) if self.view == "tiles" else None
+                data = read(h["data_offset"] + offset, length) if self.view == "tiles" else None
+                if data is not None and not self.raw:
+                    data = expand(data, h["tile_compression"], TILE_MOST)
                 yield tid, offset, length, run, *zxy(tid), data
 
 

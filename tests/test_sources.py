@@ -158,3 +158,59 @@ def test_stream(spark, tmp_path):
     q = locate.locate(points, a).select("point_id", "name").writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [tuple(r) for r in spark.table("found").collect()] == [(1, "A")]
+
+
+@pytest.mark.parametrize("leaf", [0, 4])
+def test_one_tile_is_looked_up(spark, tmp_path, monkeypatch, leaf):
+    """A tile inside a run is found, one in a gap is not, and little more than the tile is read."""
+    path = str(tmp_path / "a.pmtiles")
+    first = pmtiles.first_id(5)
+    pmtiles.write(path, [(first + 3 * k, 2, b"tile %d " % k * 500) for k in range(40)], {}, leaf=leaf, compression=pmtiles.NONE)
+    for k in (0, 7, 39):
+        for step, want in ((0, k), (1, k), (2, None)):
+            z, x, y = pmtiles.zxy(first + 3 * k + step)
+            assert pmtiles.tile_id(z, x, y) == first + 3 * k + step
+            assert pmtiles.tile(spark, path, z, x, y) == (None if want is None else b"tile %d " % want * 500)
+    read, asked = pmtiles.opener(path), []
+    monkeypatch.setattr(pmtiles, "opener", lambda p: lambda o, n: asked.append(n) or read(o, n))
+    r = pmtiles.PmtilesReader({"path": path, "tile_id": str(first + 60)})
+    assert [row[0] for part in r.partitions() for row in r.read(part)] == [first + 60]
+    assert sum(asked) < 6000  # of some 150,000 bytes: header, directories, one tile
+    rows = lambda **o: [row[0] for r in [pmtiles.PmtilesReader({"path": path, "view": "directory"} | o)] for part in r.partitions() for row in r.read(part)]
+    assert rows(least_zoom="5", most_zoom="5") == rows() == [first + 3 * k for k in range(40)] and rows(most_zoom="4") == []
+
+
+def test_stored_bytes(spark, tmp_path):
+    import gzip
+
+    path = str(tmp_path / "a.pmtiles")
+    pmtiles.write(path, [(0, 1, b"hello")], {}, compression=pmtiles.GZIP)
+    assert pmtiles.tile(spark, path, 0, 0, 0) == b"hello" and gzip.decompress(pmtiles.tile(spark, path, 0, 0, 0, raw=True)) == b"hello"
+
+
+def test_ranges_over_http_are_checked(tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Server(BaseHTTPRequestHandler):
+        said = "bytes {a}-{b}/100"
+
+        def do_GET(self):
+            a, b = map(int, self.headers["Range"].removeprefix("bytes=").split("-"))
+            self.send_response(206)
+            self.send_header("Content-Range", Server.said.format(a=a, b=b))
+            self.end_headers()
+            self.wfile.write(bytes(range(a, b + 1)))
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    read = pmtiles.opener(f"http://127.0.0.1:{server.server_port}/a")
+    assert read(3, 4) == bytes([3, 4, 5, 6])
+    for said in ("bytes {a}-{b}/101", "bytes 0-{b}/100", "", "items {a}-{b}/100"):
+        Server.said = said
+        with pytest.raises(OSError):
+            read(3, 4)
+    server.shutdown()
