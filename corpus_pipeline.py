@@ -2,7 +2,8 @@
 before it kept.  All but the last return the columns of documents.
 
 Null and empty texts: language ID rejects them (they have no letter).  Repeated rows: the join keeps one row of each group,
-the one with the least doc_id (of equal ids the one with the least text).  Empty tables give empty results."""
+the one with the least doc_id (of equal ids the one whose text has the least hash).  Texts of any length are worked on whole.
+Columns of any name stay as they are.  Empty tables give empty results."""
 
 from __future__ import annotations
 
