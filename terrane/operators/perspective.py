@@ -130,6 +130,24 @@ def frame(points: np.ndarray, heading: float, pitch: float, fov: float = FOV, as
     return float(at[0]), float(at[1]), least(at)
 
 
+def hull(points: np.ndarray) -> np.ndarray:
+    """The corners of the convex hull.  On level ground before a camera the outermost of any points on a picture are among them, so a
+    route of any length is framed by these few, and by all of its points."""
+    rows = np.unique(points, axis=0)
+    if len(rows) < 3:
+        return rows
+
+    def side(ps: np.ndarray) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for q in ps:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]):
+                out.pop()
+            out.append(q)
+        return out[:-1]
+
+    return np.array(side(rows) + side(rows[::-1]))
+
+
 def best_heading(points: np.ndarray, pitch: float, fov: float = FOV, aspect: float = 1.5, headings: int = 24) -> tuple[float, float]:
     """(heading, distance) from which a route fits nearest; an earlier heading stays unless one is a thousandth nearer."""
     best = (0.0, math.inf)
@@ -151,8 +169,7 @@ def framed(routes: DataFrame, pitch: float = 35.0, aspect: float = 1.5) -> DataF
         lat0 = math.degrees(2 * math.atan(math.exp(2 * math.pi * y0)) - math.pi / 2)
         k = CIRCUMFERENCE * math.cos(math.radians(lat0))
         p = np.column_stack([(x - x0) * k, (y - y0) * k])
-        if len(p) > 400:
-            p = p[np.linspace(0, len(p) - 1, 400).astype(int)]
+        p = hull(p)
         heading, _ = best_heading(p, pitch, aspect=aspect)
         e, n, d = frame(p, heading, pitch, aspect=aspect)
         lat = math.degrees(2 * math.atan(math.exp(2 * math.pi * (y0 + n / k))) - math.pi / 2)

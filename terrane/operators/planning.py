@@ -109,9 +109,10 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def fill(tiles: DataFrame, held: DataFrame) -> DataFrame:
-    """Tiles (source_id, z, x, y, data) that a store does not hold yet."""
-    return tiles.join(held.select("source_id", "z", "x", "y"), ["source_id", "z", "x", "y"], "left_anti")
+def fill(tiles: DataFrame, held: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """Tiles (source_id, z, x, y, data) that a store does not hold yet; also: further columns that equal tiles have in common."""
+    key = ["source_id", *(also or []), "z", "x", "y"]
+    return tiles.join(held.select(*key), key, "left_anti")
 
 
 def split_areas(areas: DataFrame, most_cells: int = 1024, cell_zoom: int = CELL_ZOOM) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from . import planning
 
-TILES = "source_id string, cell long, z int, x long, y long, data binary"
+TILES = "source_id string, cell long, z int, x long, y long, size long, data binary"
 CELLS = "source_id string, x long, y long, zoom_min int, zoom_max int, tiles long, bytes long, fetched timestamp, last_used timestamp, complete boolean, gone boolean, seq long"
 SOURCES = "source_id string, source string, build string, attribution string, compression string, zoom_min int, zoom_max int, created timestamp, seq long"
 
@@ -70,11 +70,12 @@ class Store:
         """Writes tiles (z, x, y, data) that are not held.  cells (x, y): these are complete down to zoom_max afterwards, and
         are entered only once their tiles are written."""
         new = tiles.withColumns({"source_id": F.lit(source_id), "cell": self._cell(F.col("z"), F.col("x"), F.col("y"))})
-        new = planning.fill(new.dropDuplicates(["source_id", "z", "x", "y"]), self.tiles().where(F.col("source_id") == source_id))
-        new.select("source_id", "cell", "z", "x", "y", "data").repartition("cell").write.mode("append").partitionBy("source_id", "cell").parquet(f"{self.root}/tiles")
+        # the cell is a key of the join, so that only partitions of cells in question are read
+        new = planning.fill(new.dropDuplicates(["source_id", "z", "x", "y"]).withColumn("size", F.octet_length("data").cast("long")), self.tiles().where(F.col("source_id") == source_id), ["cell"])
+        new.select("source_id", "cell", "z", "x", "y", "size", "data").repartition("cell").write.mode("append").partitionBy("source_id", "cell").parquet(f"{self.root}/tiles")
         if cells is None:
             return
-        held = self.tiles().where((F.col("source_id") == source_id) & (F.col("cell") >= 0)).groupBy("cell").agg(F.count("*").alias("tiles"), F.sum(F.octet_length("data")).alias("bytes"))
+        held = self.tiles().where((F.col("source_id") == source_id) & (F.col("cell") >= 0)).groupBy("cell").agg(F.count("*").alias("tiles"), F.sum("size").alias("bytes"))
         side = 2**self.cell_zoom
         done = cells.select("x", "y").distinct().withColumn("cell", F.col("y") * side + F.col("x")).join(held, "cell", "left")
         before = self.cells().where(F.col("source_id") == source_id).select("x", "y", F.col("zoom_max").alias("was"))
@@ -98,8 +99,10 @@ class Store:
         self._append(self.cells().join(cells, ["source_id", "x", "y"], "left_semi").withColumn("last_used", F.current_timestamp()), "cells", CELLS)
 
     def has(self, wanted: DataFrame) -> DataFrame:
-        """wanted (source_id, z, x, y) that are held; no data is read."""
-        return wanted.join(self.tiles().select("source_id", "z", "x", "y"), ["source_id", "z", "x", "y"], "left_semi")
+        """wanted (source_id, z, x, y) that are held; no data is read, and only their cells."""
+        keyed = wanted.withColumn("cell", self._cell(F.col("z"), F.col("x"), F.col("y")))
+        key = ["source_id", "cell", "z", "x", "y"]
+        return keyed.join(self.tiles().select(*key), key, "left_semi").select(*wanted.columns)
 
     def tiles_at(self, source_id: str, zoom: int, limit: int) -> tuple[list, bool]:
         """Up to `limit` tiles held at a zoom, and whether there are more."""
@@ -107,7 +110,7 @@ class Store:
         return got[:limit], len(got) > limit
 
     def bytes(self) -> int:
-        return self.tiles().agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
+        return self.tiles().agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
     def evict(self, budget: int, held: DataFrame | None = None) -> list:
         """Drops the least recently used cells until the store is within budget; held (source_id, x, y) stay."""

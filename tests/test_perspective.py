@@ -50,6 +50,15 @@ def test_framing():
     assert w < 0 < east and s < 0 < north and w == pytest.approx(-east)
 
 
+def test_a_long_route_is_framed_by_all_its_points(spark):
+    rng = np.random.default_rng(3)
+    pts = np.cumsum(rng.normal(size=(3000, 2)) * 50, axis=0)
+    pts[1234] += [9000, 4000]  # one outlier, which no sample would keep
+    for heading in (0, 75, 200):
+        assert P.frame(P.hull(pts), heading, 35) == pytest.approx(P.frame(pts, heading, 35))
+    assert len(P.hull(pts)) < 100 and len(P.hull(pts[:1])) == 1 and len(P.hull(np.array([[0.0, 0.0], [1.0, 1.0], [2.0, 2.0]]))) == 2
+
+
 def test_rows(spark):
     r = spark.createDataFrame([(1, 55.0, 9.0), (1, 55.1, 9.3), (2, -33.0, 151.0)], "route_id int, lat double, lon double")
     got = {x["route_id"]: x for x in P.framed(r).collect()}
