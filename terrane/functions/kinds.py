@@ -129,3 +129,19 @@ def near_enough(lat: Column, lon: Column, lat2: Column, lon2: Column, z: Column)
 def join_credits(a: Column, b: Column) -> Column:
     """Two credits in one line; an empty one is left out."""
     return F.concat_ws(" | ", F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))
+
+
+def on_earth(lat: Column, lon: Column, step: Column, base_lat: Column, base_lon: Column) -> Column:
+    """Whether coordinates in units of `step` nanodegrees are the earth's, before and after a block's origin is added.  Limits are
+    divided and not coordinates multiplied, so that no product can overflow."""
+
+    def fits(v: Column, base: Column, degrees: int) -> Column:
+        most = degrees * 10**9
+        return F.when(F.abs(v) > F.floor(F.lit(most) / step), F.lit(False)).otherwise(F.abs(base + step * v) <= most)
+
+    return fits(lat, base_lat, 90) & fits(lon, base_lon, 180)
+
+
+def short_credit(ids: Column, by: str, page: str, lead: str = "Elevation") -> Column:
+    """The line for a picture that any sources lie under: who compiled them and where they are listed; no ids, no credit."""
+    return F.when(F.coalesce(F.size(ids), F.lit(0)) > 0, f"{lead}: © {by}, {page}").otherwise("")

@@ -74,3 +74,33 @@ def covered(tiles: DataFrame, by: str) -> DataFrame:
     t = tiles.withColumn("__a", area)
     part = lambda c: F.sum(F.when(c, F.col("__a")).otherwise(0.0)) / F.sum("__a")
     return t.groupBy(by).agg(F.count("*").alias("tiles"), F.count("held_zoom").alias("resolved"), part(F.col("held_zoom").isNotNull()).alias("covered"), part(F.col("held_zoom") < F.col("tile_zoom")).alias("overzoomed"))
+
+
+#: Pixels of the sides of a map that is draped over ground (fixed values).
+LEAST_DRAPE, MOST_DRAPE = 512, 8192
+
+
+def drape_size(wide_km: Column, high_km: Column, distance: Column, fov: Column, image_height: Column, side: Column) -> tuple[Column, Column]:
+    """Width and height of the map to drape for a camera: its longer side as asked for, or, asked for 0, one pixel to a pixel of the
+    picture at the point looked at, within limits."""
+    a_pixel = 2 * distance * F.tan(F.radians(fov) / 2) / F.greatest(image_height, F.lit(1))
+    fitting = F.least(F.lit(float(MOST_DRAPE)), F.greatest(F.lit(float(LEAST_DRAPE)), F.greatest(wide_km, high_km) * 1000 / a_pixel))
+    longer = F.when(side > 0, side.cast("double")).otherwise(F.floor(fitting))
+    shorter = F.greatest(F.lit(1), F.floor(longer * F.least(wide_km, high_km) / F.greatest(wide_km, high_km))).cast("int")
+    longer = longer.cast("int")
+    return F.when(wide_km > high_km, longer).otherwise(shorter), F.when(wide_km > high_km, shorter).otherwise(longer)
+
+
+def on_lattice(cell: float, step: int) -> dict[str, Column]:
+    """Columns w, s, e, n grown to whole cells of a lattice fixed to the ground, its vertices in the cells' middles, but never past the
+    world's edge; with width and height in pixels, `step` to a cell.  Null where fewer than two cells are left."""
+
+    def ends(low: Column, high: Column) -> tuple[Column, Column]:
+        a, b = (F.floor(low / cell + 0.5) - 0.5) * cell, (F.ceil(high / cell - 0.5) + 0.5) * cell
+        return F.when(a < 0, a + F.ceil(-a / cell) * cell).otherwise(a), F.when(b > 1, b - F.ceil((b - 1) / cell) * cell).otherwise(b)
+
+    (x0, x1), (y0, y1) = ends(M.world_x(F.col("w")), M.world_x(F.col("e"))), ends(M.world_y(F.col("n")), M.world_y(F.col("s")))
+    columns, rows = F.round((x1 - x0) / cell), F.round((y1 - y0) / cell)
+    good = (columns >= 2) & (rows >= 2)
+    out = {"w": M.longitude(x0), "s": M.latitude(y1), "e": M.longitude(x1), "n": M.latitude(y0), "width": (columns * step).cast("int"), "height": (rows * step).cast("int")}
+    return {k: F.when(good, v) for k, v in out.items()}

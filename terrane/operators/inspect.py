@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import mercator as M
+
 #: Into how many shares tag_samples deals a key's values.
 SALTS = 64
 
@@ -88,3 +90,21 @@ def properties_json(layer: Column, fid: Column, tags: Column) -> Column:
     body = F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(":"), quoted(e["value"])))
     head = F.array_compact(F.array(F.concat(F.lit('"@layer":'), quoted(layer)), F.concat(F.lit('"@id":'), fid.cast("string"))))
     return F.concat(F.lit("{"), F.array_join(F.concat(head, body), ","), F.lit("}"))
+
+
+#: The least distance between two copies of a name along a line: pixels, or so many of the name's own widths (fixed values).
+REPEAT_PIXELS, REPEAT_WIDTHS = 600.0, 4.0
+
+
+def too_near(others: Column, x: Column, y: Column, along: Column, width: Column) -> Column:
+    """Whether a name that is to stand once may not go to (x, y): anywhere if it is a point's, near a copy if it runs along a line.
+    others: array of struct<x, y> where it stands already."""
+    reach = F.greatest(F.lit(REPEAT_PIXELS), width * REPEAT_WIDTHS)
+    near = F.exists(others, lambda o: F.hypot(o["x"] - x, o["y"] - y) < reach)
+    return F.when(F.coalesce(F.size(others), F.lit(0)) <= 0, F.lit(False)).otherwise(~along | near)
+
+
+def own_names(names: DataFrame) -> DataFrame:
+    """Names (z, x, y, lat, lon, ...) drawn with a tile whose centre lies on that tile's own ground: its neighbour names the others."""
+    n = M.side(F.col("z"))
+    return names.where((F.floor(M.world_x(F.col("lon")) * n) == F.col("x")) & (F.floor(M.world_y(F.col("lat")) * n) == F.col("y")))

@@ -6,7 +6,10 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import mercator as M
 
 Point = tuple[float, float]
 XY = "array<struct<x:double,y:double>>"
@@ -163,3 +166,18 @@ def clipped(lines: DataFrame, box: tuple) -> DataFrame:
 
 def dashed(lines: DataFrame, pattern: list[float], phase: float = 0.0) -> DataFrame:
     return _each(lines, lambda r: [(_out(p),) for p in dash(_in(r["points"]), pattern, phase)[0]], f"run {XY}")
+
+
+def middle(line_parts: Column, z, x: Column, y: Column, extent: Column) -> tuple[Column, Column]:
+    """lon, lat of the middle vertex of a tile feature's first line; of the tile's middle where it has no line."""
+    first = F.get(line_parts, 0)
+    p = F.get(first, F.floor(F.size(first) / 2).cast("int"))
+    half = F.floor(extent / 2)
+    return M.lonlat_in_tile(z, x, y, F.coalesce(p["x"], half), F.coalesce(p["y"], half), extent)
+
+
+def bounds(points: Column) -> Column:
+    """The box of a path's points, curves' control points among them; null for none.  NaN stays out."""
+    side = lambda k: F.filter(F.transform(points, lambda p: p[k]), lambda v: ~F.isnan(v))
+    x, y = side("x"), side("y")
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.struct(F.array_min(x).alias("x0"), F.array_min(y).alias("y0"), F.array_max(x).alias("x1"), F.array_max(y).alias("y1")))

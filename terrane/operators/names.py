@@ -76,3 +76,32 @@ def chains(edges: DataFrame, roots: DataFrame) -> DataFrame:
         front = keep(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("steps", F.lit(k)))
         seen = keep(seen.union(front))
     return seen
+
+
+def place_ids(seen: DataFrame) -> DataFrame:
+    """Names that frames show (name, pos, lat, lon, z, fine_lat, fine_lon, fine_z) with the number of their place: a name met again near
+    where its coarsest or its finest zoom put it is the same place.  What is near depends on what came before, so a name is a group;
+    it holds one flight's sights of it, and places of the name, which few are, are looked through for each."""
+    import pandas as pd
+
+    def near(lat: float, lon: float, place: list, k: int, z: int) -> bool:
+        d = 6 * 360 / 2.0 ** min(place[k + 2], z) / 256
+        return abs(lat - place[k]) < d and abs(lon - place[k + 1]) < d
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        places: list[list] = []  # lat, lon, z of the coarsest, then of the finest
+        ids = []
+        for r in pdf.itertuples():
+            coarse, fine = [r.lat, r.lon, r.z], [r.fine_lat, r.fine_lon, r.fine_z]
+            k = next((i for i, p in enumerate(places) if near(*coarse[:2], p, 0, r.z) or near(*fine[:2], p, 3, r.fine_z)), len(places))
+            if k == len(places):
+                places.append([*coarse, *fine])
+            elif r.z < places[k][2]:
+                places[k][:3] = coarse
+            if r.fine_z > places[k][5]:
+                places[k][3:] = fine
+            ids.append(k)
+        return pdf[["name", "pos"]].assign(place=ids)
+
+    return seen.groupBy("name").applyInPandas(one, f"name string, pos {seen.schema['pos'].dataType.simpleString()}, place int")

@@ -194,3 +194,43 @@ def frames(cameras: DataFrame, width: int, height: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["frame_id", "png", "seen"])
 
     return cameras.mapInPandas(run, "frame_id bigint, png binary, seen double")
+
+
+#: The faintest name that is drawn, and how much more than its share a covered part counts (fixed values).
+FAINTEST, COVERED = 1 / 64, 3
+
+
+def covers(a: tuple, b: tuple, same: bool) -> float:
+    """How much box b takes of a name in box a (left, top, right, bottom); a copy of the name takes of it from beside it too."""
+    wide, high = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    small = min((a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1]))
+    taken = min(1.0, COVERED * wide * high / small) if wide > 0 and high > 0 and small > 0 else 0.0
+    reach = 2 * max(a[2] - a[0], b[2] - b[0])
+    if same and reach > 0:
+        apart = math.hypot((a[0] + a[2] - b[0] - b[2]) / 2, (a[1] + a[3] - b[1] - b[3]) / 2)
+        taken = max(taken, 1 - apart / reach)
+    return taken
+
+
+def edge_fade(box: tuple, width: int, height: int, ramp: float) -> float:
+    """1 inside the picture, 0 once a box is `ramp` pixels over its edge, eased between."""
+    t = min(1.0, max(0.0, (min(box[0], box[1], width - box[2], height - box[3]) + ramp) / ramp)) if ramp > 0 else 1.0
+    return t * t * (3 - 2 * t)
+
+
+def shown_names(names: DataFrame) -> DataFrame:
+    """Names of pictures (frame_id, pos, name, alpha, x0, y0, x1, y1, width, height, ramp) as strong as they are shown: faded at the edge
+    and by the names before them that they lie on; too faint ones go.  A fold, so a picture is a group; it holds its own names."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        shown: list[tuple] = []
+        for r in pdf.sort_values("pos").itertuples():
+            box = (r.x0, r.y0, r.x1, r.y1)
+            alpha = r.alpha * edge_fade(box, r.width, r.height, r.ramp)
+            for _, _, other, a, b in shown:
+                alpha *= 1 - a * covers(box, b, other == r.name)
+            if alpha >= FAINTEST:
+                shown.append((r.frame_id, r.pos, r.name, alpha, box))
+        return pd.DataFrame([s[:4] for s in shown], columns=["frame_id", "pos", "name", "alpha"])
+
+    return names.groupBy("frame_id").applyInPandas(one, "frame_id bigint, pos int, name string, alpha double")

@@ -8,13 +8,17 @@ from __future__ import annotations
 
 import time
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text
-from . import planning
+from ..functions import text, tileid
+from ..sources import pmtiles
+from . import ordered, planning
 
+#: Bytes of an archive whose ranges are merged by one task.
+BLOCK = 256 << 20
 TILES = "source_id string, cell long, z int, x long, y long, size long, data binary"
 CELLS = "source_id string, x long, y long, zoom_min int, zoom_max int, tiles long, bytes long, fetched timestamp, last_used timestamp, complete boolean, gone boolean, seq long"
 SOURCES = "source_id string, source string, build string, attribution string, compression string, zoom_min int, zoom_max int, created timestamp, seq long"
@@ -124,3 +128,32 @@ class Store:
             fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/tiles/source_id={r['source_id']}/cell={r['y'] * 2**self.cell_zoom + r['x']}"), True)
         drop.unpersist()
         return rows
+
+    def fetch(self, source_id: str, archive: str, wanted: DataFrame, cells: DataFrame | None = None, zoom_max: int | None = None, max_gap: int = 64 << 10, max_request: int = 8 << 20) -> None:
+        """Carries out a plan: wanted tiles (z, x, y) that are not held are read from an archive and filled in.  Their ranges of bytes are
+        merged into requests by blocks of BLOCK bytes, and each request is one row, so a lost executor repeats its own requests only.
+        Tiles stay compressed as the archive has them; those that it lacks are left out, as a cell may be complete without them."""
+        self.spark.dataSource.register(pmtiles.PmtilesSource)
+        view = lambda v: self.spark.read.format("pmtiles").option("view", v).load(archive)
+        base = view("header").first()["data_offset"]
+        asked = wanted.select("z", "x", "y").distinct().withColumn("source_id", F.lit(source_id))
+        missing = asked.join(self.has(asked), ["source_id", "z", "x", "y"], "left_anti").withColumn("tile_id", tileid.tile_id(F.col("z"), F.col("x"), F.col("y")))
+        found = planning.lookup(missing, view("directory")).where("offset is not null").withColumn("block", F.floor(F.col("offset") / BLOCK))
+        pieces = found.select("block", "offset", "length").distinct()  # a run of equal tiles is one piece
+        requests = ordered.coalesce_ranges(pieces, ["block"], max_gap, max_request)
+        ranges = requests.select("block", F.col("offset").alias("range_offset"), F.col("length").alias("range_length"))
+        sliced = planning.slice_out(pieces, ranges, "block").groupBy("block", "range_offset").agg(F.collect_list(F.struct("offset", "length", "start")).alias("pieces"))
+
+        def run(batches):
+            read = pmtiles.opener(archive)
+            for pdf in batches:
+                for r in pdf.itertuples():
+                    got = read(base + r.range_offset, r.range_length)
+                    if len(got) != r.range_length:
+                        raise OSError(f"asked for {r.range_length} bytes, got {len(got)}")
+                    yield pd.DataFrame([(p["offset"], p["length"], got[p["start"] : p["start"] + p["length"]]) for p in r.pieces], columns=["offset", "length", "data"])
+
+        rows = ranges.join(sliced, ["block", "range_offset"]).select("range_offset", "range_length", "pieces")
+        fetched = rows.repartition("range_offset").mapInPandas(run, "offset long, length long, data binary")
+        tiles = found.select("z", "x", "y", "offset", "length").join(fetched, ["offset", "length"]).select("z", "x", "y", "data")
+        self.fill(source_id, tiles, cells, zoom_max)

@@ -7,6 +7,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import colour
+from ..functions import mercator as M
+
 #: The deepest zoom of a rule (fixed value).
 DEEPEST = 31
 #: Names for shifts of line labels (fixed values); `places` drops them.
@@ -145,3 +148,40 @@ def draw_order(pieces: DataFrame) -> DataFrame:
 
     order = [F.col("rank"), F.col("area").desc(), F.col("ord"), F.col("pos")]
     return one.withColumn("place", F.row_number().over(W.partitionBy("view_id").orderBy(*order)))
+
+
+def extra_features(places: DataFrame, tiles: DataFrame) -> DataFrame:
+    """places (layer, lat, lon, ...) a caller adds, as points (px, py) of the tiles (layer, z, x, y, extent) that hold them.  A place has
+    one key a zoom, so it is an equi-join; one on the world's far edge is in no tile."""
+    zooms = tiles.select("z").distinct()  # at most 32
+    n = M.side(F.col("z"))
+    keyed = places.join(F.broadcast(zooms)).withColumns({"__x": M.world_x(F.col("lon")) * n, "__y": M.world_y(F.col("lat")) * n})
+    keyed = keyed.withColumns({"x": F.floor("__x").cast("long"), "y": F.floor("__y").cast("long")})
+    held = keyed.join(tiles.select("layer", "z", "x", "y", "extent"), ["layer", "z", "x", "y"])
+    inside = lambda w, t: F.floor((F.col(w) - F.col(t)) * F.col("extent")).cast("int")
+    return held.withColumns({"px": inside("__x", "x"), "py": inside("__y", "y")}).drop("__x", "__y")
+
+
+#: Contrast that a palette must keep (fixed values): the map's inks are quiet, what is drawn on them reads, two of them differ.
+QUIET, OVER, LETTERS, GAP, APART, CHROMA = 4.5, 3.0, 4.5, 3.0, 6.0, 32.0
+
+
+def contrast_faults(inks: DataFrame, by: str = "palette") -> DataFrame:
+    """inks (palette, name, roles, r, g, b, edge) to every fault of each palette: (palette, fault, name, other, value).  roles are of
+    background, context, underfoot, overlay, distinct, label, road, gap; shaded ground is inks of its own.  Inks of one edge are a
+    line and its border, which need not differ.  Pairs are joined within a palette, which holds tens of inks."""
+    own = inks.withColumns({"l": F.array(*colour.lab(F.col("r"), F.col("g"), F.col("b"))), "y": colour.luminance(F.col("r"), F.col("g"), F.col("b"))})
+    own = own.withColumn("__c", F.hypot(F.get("l", 1), F.get("l", 2)))
+    rows = own.withColumn("role", F.explode("roles"))
+    side = lambda role, p: rows.where(F.col("role") == role).select(by, *(F.col(c).alias(f"{p}_{c}") for c in ("name", "y", "l", "edge")))
+    ratio = (F.greatest("a_y", "b_y") + 0.05) / (F.least("a_y", "b_y") + 0.05)
+
+    def against(a: str, b: str, fault: str, bad) -> DataFrame:
+        return side(a, "a").join(side(b, "b"), by).withColumn("value", ratio).where(bad(F.col("value"))).select(by, F.lit(fault).alias("fault"), F.col("a_name").alias("name"), F.col("b_name").alias("other"), "value")
+
+    pairs = side("distinct", "a").join(side("distinct", "b"), by).where("a_name < b_name and not coalesce(a_edge = b_edge, false)")
+    alike = colour.with_difference(pairs, "value", *(tuple(F.get(c, i) for i in range(3)) for c in ("a_l", "b_l"))).where(F.col("value") < APART).select(by, F.lit("alike").alias("fault"), F.col("a_name").alias("name"), F.col("b_name").alias("other"), "value")
+    bright = rows.where("role = 'context'").where(F.col("__c") > CHROMA).select(by, F.lit("saturated").alias("fault"), "name", F.lit(None).cast("string").alias("other"), F.col("__c").alias("value"))
+    out = against("context", "background", "loud", lambda v: v > QUIET).unionByName(against("overlay", "underfoot", "lost", lambda v: v < OVER))
+    out = out.unionByName(against("label", "background", "unreadable", lambda v: v < LETTERS)).unionByName(against("label", "road", "unreadable", lambda v: v < LETTERS))
+    return out.unionByName(against("gap", "background", "gap unseen", lambda v: v < GAP)).unionByName(alike).unionByName(bright)

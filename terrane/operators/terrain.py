@@ -93,3 +93,21 @@ def credit(ids: DataFrame, attributions: DataFrame, by: str, notices: dict[str,
     first = named.withColumn("__r", F.row_number().over(W.partitionBy(by, "__t").orderBy("pos"))).where("__r = 1")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "__t"))), lambda s: s["__t"])
     return first.groupBy(by).agg(F.concat(F.lit(f"{lead}: "), F.array_join(parts, "; ")).alias("credit"))
+
+
+def read_folder(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of archives as read_index gives it: its global archive, without which it is no layout, regions, coverage and sources."""
+    names = spark.read.format("binaryFile").load(path).select("path").withColumn("name", F.element_at(F.split("path", "/"), -1))  # no content is read
+    part = lambda k: F.regexp_extract("name", REGION, k).try_cast("long")
+    tiles = names.withColumns({k: part(i) for i, k in enumerate("zxy", 1)})
+    on_grid = (F.col("z") <= 31) & (F.col("x") < F.pow(F.lit(2), "z")) & (F.col("y") < F.pow(F.lit(2), "z"))
+    kind = F.when(F.col("name") == GLOBAL, "global").when(F.col("name") == COVERAGE, "coverage").when(F.col("name") == SOURCES, "sources").when(on_grid, "region")
+    found = tiles.select(kind.alias("kind"), F.col("path").alias("url"), *(F.when(kind == "region", F.col(k)).alias(k) for k in "zxy")).where("kind is not null")
+    if found.where("kind = 'global'").isEmpty():
+        raise FileNotFoundError(f"{path} holds no {GLOBAL}")
+    return found
+
+
+def locate(spark: SparkSession, source: str, index: str = "") -> DataFrame:
+    """The archives at a source: a folder's, or those of a list (its path) that a host at this address has published."""
+    return read_index(spark, index, source) if index else read_folder(spark, source)

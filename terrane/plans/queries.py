@@ -456,7 +456,7 @@ u AS (SELECT p_partkey, (l2 - l1) / (1 + 0.015 * (lm - 50) ** 2 / sqrt(20 + (lm
 def colour_difference(spark, d):
     k = F.col("p_partkey")
     a = [F.lit(50.0), (k % 101 - 50).cast("double"), (k % 89 - 44).cast("double"), (F.col("p_size") + 20).cast("double"), (k % 61 - 30).cast("double"), (k % 71 - 35).cast("double")]
-    return D.read(spark, d, "part").select("p_partkey", r(colour.ciede2000(*a), 5).alias("delta"))
+    return colour.with_difference(D.read(spark, d, "part").select("p_partkey", "p_size"), "delta", a[:3], a[3:]).select("p_partkey", r(F.col("delta"), 5).alias("delta"))
 
 
 @query("SELECT p_partkey, round(CASE WHEN z <= 5 THEN 1 WHEN z <= 10 THEN 4 ** ((z - 5) / 5) WHEN z <= 14 THEN 4 * 4 ** ((z - 10) / 4) ELSE 16 END, 6) AS width FROM (SELECT p_partkey, (p_partkey % 200) / 1e1 AS z FROM part)")
@@ -582,6 +582,6 @@ def rendered_views(spark, d):
     return got.select("view_id", F.length("png").alias("bytes"), F.md5("png").alias("digest"))
 
 
-from . import placing, styling  # noqa: E402  they add their queries to the table
+from . import drawing, placing, styling  # noqa: E402  they add their queries to the table
 
-__all__ = ["ORACLE", "QUERIES", "placing", "styling"]
+__all__ = ["ORACLE", "QUERIES", "drawing", "placing", "styling"]

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import kinds, text
 from . import wire
 
 #: Property names to look for in order, and the binary format's magic, version, scale and limits.
@@ -131,3 +132,30 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, f"{SCHEMA}, file string, source string, attribution string, levels array<int>")
+
+
+def read_regions(spark: SparkSession, folder: str, prefix: str, suffix: str) -> DataFrame:
+    """Areas of all the region files of a folder, with their region.  A file that cannot be read is left out, so that one of them takes
+    nothing from the others' answers; other files are not opened."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for region, content in zip(pdf["region"], pdf["content"], strict=True):
+                try:
+                    _, areas = decode(bytes(content))
+                except (wire.Malformed, ValueError, IndexError):  # a bad file, or bytes that are no text
+                    continue
+                yield pd.DataFrame(areas, columns=["file_pos", "name", "kind", "parts"]).assign(region=region)
+
+    files = spark.read.format("binaryFile").load(folder).withColumn("region", kinds.region_of(F.element_at(F.split("path", "/"), -1), prefix, suffix))
+    return files.where("region is not null").select("region", "content").mapInPandas(run, f"{SCHEMA}, region string")
+
+
+def available(spark: SparkSession, folder: str, layers: list[str], prefix: str, suffix: str) -> bool:
+    """Does a folder hold any boundaries: all the layers' files, or any region's."""
+    try:
+        found = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+        had = found.where(F.col("name").isin(*layers)).select("name").distinct().count()
+        return had == len(set(layers)) or not found.where(kinds.region_of(F.col("name"), prefix, suffix).isNotNull()).isEmpty()
+    except AnalysisException:  # no such folder
+        return False

@@ -18,6 +18,7 @@ from .pmtiles import opener
 #: Fixed values of the format: size limits, features that this reader knows, member types, roles of fields.
 HEADER_MOST, BLOB_MOST = 64 << 10, 32 << 20
 KNOWN = {"OsmSchema-V0.6", "DenseNodes"}
+SORTED = "Sort.Type_then_ID"
 TYPES = ("node", "way", "relation")
 TAGS = "tags map<string,string>"
 SCHEMAS = {
@@ -68,6 +69,29 @@ def check_header(b: bytes) -> None:
         raise wire.Malformed(f"the file needs {sorted(needs - KNOWN)}")
 
 
+def is_sorted(b: bytes) -> bool:
+    """Does the header say that nodes come first, then ways, then relations."""
+    return SORTED in {bytes(v).decode() for n, v in wire.fields(b) if n == 5}
+
+
+def stretch(count: int, kinds, table: str) -> tuple[int, int]:
+    """Of `count` blocks sorted by kind the first and the end of those that may hold a table's rows.  kinds(i) is asked for a logarithm
+    of the blocks; one that holds nothing tells no side, and then all of them count."""
+    want = list(SCHEMAS).index(table)
+
+    def first(after) -> int:
+        lo, hi = 0, count
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if after([list(SCHEMAS).index(k) for k in kinds(mid)]) else (mid + 1, hi)
+        return lo
+
+    try:
+        return first(lambda ks: max(ks) >= want), first(lambda ks: min(ks) > want)
+    except ValueError:  # of an empty list
+        return 0, count
+
+
 def _signed(v: int) -> int:
     return v - (v >> 63 << 64)
 
@@ -87,6 +111,14 @@ class Block:
     def degrees(self, lat, lon):
         return 1e-9 * (self.base[0] + self.step * lat), 1e-9 * (self.base[1] + self.step * lon)
 
+    def on_earth(self, lat, lon) -> None:
+        """Raises where a coordinate, before or after the block's origin is added, is none of the earth's.  Limits are divided and not
+        coordinates multiplied, so that no product can wrap."""
+        for v, base, most in ((lat, self.base[0], 90 * 10**9), (lon, self.base[1], 180 * 10**9)):
+            v = np.atleast_1d(v)
+            if len(v) and (int(v.min()) < -(most // self.step) or int(v.max()) > most // self.step or base + self.step * int(v.min()) < -most or base + self.step * int(v.max()) > most):
+                raise wire.Malformed(f"a node off the earth, in units of {self.step} nanodegrees")
+
     def kinds(self) -> set[str]:
         """Which elements it holds; nothing of them is decoded."""
         names = {1: "nodes", 2: "nodes", 3: "ways", 4: "relations"}
@@ -100,13 +132,16 @@ class Block:
             for n, v in wire.fields(g):
                 if n == 1:
                     f = dict(wire.fields(v))
-                    lat, lon = self.degrees(wire.unzigzag(f.get(8, 0)), wire.unzigzag(f.get(9, 0)))
+                    lat, lon = wire.unzigzag(f.get(8, 0)), wire.unzigzag(f.get(9, 0))
+                    self.on_earth(lat, lon)
+                    lat, lon = self.degrees(lat, lon)
                     yield wire.unzigzag(f.get(1, 0)), lat, lon, self._tags(wire.varints(f.get(2, b"")), wire.varints(f.get(3, b"")))
                 elif n == 2:
                     f = dict(wire.fields(v))
                     ids, lats, lons = (np.cumsum(wire.unzigzag(wire.varints(f.get(k, b"")))) for k in (1, 8, 9))
                     if not len(ids) == len(lats) == len(lons):
                         raise wire.Malformed("dense nodes whose runs differ in length")
+                    self.on_earth(lats, lons)
                     lat, lon = self.degrees(lats, lons)
                     flat = wire.varints(f.get(10, b"")).tolist()
                     # a 0 ends each node's keys and values; an empty run says that no node has any
@@ -146,11 +181,17 @@ class OsmReader(DataSourceReader):
 
     def partitions(self):
         read = opener(self.path)
-        found = list(blobs(read))
+        found, by_kind = list(blobs(read)), False
         for kind, at, n in found:
             if kind == "OSMHeader":
-                check_header(payload(read(at, n)))
-        return [Blob(at, n) for kind, at, n in found if kind == "OSMData"] or [Blob(0, 0)]
+                head = payload(read(at, n))
+                check_header(head)
+                by_kind = is_sorted(head)
+        data = [Blob(at, n) for kind, at, n in found if kind == "OSMData"]
+        if by_kind:  # the other kinds' blocks are not read at all
+            first, end = stretch(len(data), lambda i: Block(payload(read(data[i].offset, data[i].length))).kinds(), self.table)
+            data = data[first:end]
+        return data or [Blob(0, 0)]
 
     def read(self, partition: Blob) -> Iterator[tuple]:
         if partition.length:
@@ -174,7 +215,7 @@ class OsmSource(DataSource):
 
 
 def write(path: str, nodes: list[tuple], ways: list[tuple], relations: list[tuple], step: int = 100) -> None:
-    """A small extract, a block for each kind of element; rows as in SCHEMAS."""
+    """A small extract, a block for each kind of element, sorted; rows as in SCHEMAS."""
     import zlib
 
     def blob(kind: str, body: bytes) -> bytes:
@@ -204,4 +245,4 @@ def write(path: str, nodes: list[tuple], ways: list[tuple], relations: list[tupl
         return b"".join(wire.field(4, wire.field(1, r[0]) + tag(s, r[2]) + wire.field(8, b"".join(wire.put(s(m[2])) for m in r[1])) + wire.field(9, run([m[1] for m in r[1]])) + wire.field(10, b"".join(wire.put(TYPES.index(m[0])) for m in r[1]))) for r in relations)
 
     with open(path, "wb") as f:
-        f.write(blob("OSMHeader", b"".join(wire.field(4, k.encode()) for k in sorted(KNOWN))) + block(dense) + block(way) + block(relation))
+        f.write(blob("OSMHeader", b"".join(wire.field(4, k.encode()) for k in sorted(KNOWN)) + wire.field(5, SORTED.encode())) + block(dense) + block(way) + block(relation))

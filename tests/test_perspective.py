@@ -66,3 +66,35 @@ def test_rows(spark):
     c = spark.createDataFrame([(7, 10.0, 30.0, 900.0, 40.0, 33, [float(i % 33) for i in range(33 * 33)])], "frame_id bigint, heading double, pitch double, distance double, spacing double, size int, heights array<float>")
     f = P.frames(c, 40, 30).first()
     assert dem.png(bytes(f["png"])).shape == (30, 40, 3) and 0 < f["seen"] <= 1
+
+
+def test_names_fade(spark):
+    rows = [(1, 0, "a", 1.0, 10.0, 10.0, 30.0, 20.0), (1, 1, "b", 1.0, 10.0, 10.0, 30.0, 20.0), (1, 2, "c", 0.5, 27.0, 10.0, 47.0, 20.0), (1, 3, "a", 1.0, 60.0, 10.0, 80.0, 20.0), (1, 4, "d", 1.0, -5.0, 50.0, 15.0, 60.0), (2, 0, "a", 0.01, 10.0, 10.0, 30.0, 20.0)]
+    t = spark.createDataFrame([(*r, 100, 80, 10.0) for r in rows], "frame_id long, pos int, name string, alpha double, x0 double, y0 double, x1 double, y1 double, width int, height int, ramp double")
+    got = {(r["frame_id"], r["pos"]): r["alpha"] for r in P.shown_names(t).collect()}
+    # b lies wholly on a; 15 % of c does, which counts thrice; a's copy is 50 pixels away, past twice its width
+    assert got == pytest.approx({(1, 0): 1.0, (1, 2): 0.5 * (1 - 0.45), (1, 3): 1.0, (1, 4): 0.5})
+    assert P.covers((0, 0, 20, 10), (10, 100, 30, 110), True) == 0 and P.covers((0, 0, 20, 10), (20, 0, 40, 10), True) == pytest.approx(0.5)
+
+
+def test_places_of_a_name(spark):
+    from terrane.operators import names
+
+    d = 6 * 360 / 2.0**8 / 256
+    rows = [("x", 0, 0.0, 0.0, 8, 0.0, 0.0, 8), ("x", 1, d * 0.9, 0.0, 9, d * 0.9, 0.0, 9), ("x", 2, d * 1.1, 0.0, 8, 5.0, 5.0, 10), ("x", 3, 0.0, 1.0, 8, 0.0, 1.0, 8), ("y", 4, 0.0, 0.0, 8, 0.0, 0.0, 8)]
+    t = spark.createDataFrame(rows, "name string, pos int, lat double, lon double, z int, fine_lat double, fine_lon double, fine_z int")
+    # 2 is too far from where 0 put the place, and 1's finer zoom says so more closely
+    assert {(r["pos"], r["place"]) for r in names.place_ids(t).collect()} == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 0)}
+
+
+def test_round_growth():
+    from terrane.operators import draw
+
+    rng = np.random.default_rng(5)
+    mask = (rng.random((17, 23)) > 0.97).astype(np.uint8) * rng.integers(1, 256, (17, 23)).astype(np.uint8)
+    got, on = draw.dilate(mask, 2.5), np.argwhere(mask >= 128)
+    for y in range(17):
+        for x in range(23):
+            near = min(np.hypot(y - a, x - b) for a, b in on)
+            assert got[y, x] == max(mask[y, x], int(np.floor(min(1, max(0, 3.0 - near)) * 255 + 0.5)))
+    assert (draw.dilate(mask, 0) == mask).all() and not draw.dilate(np.zeros((4, 4), np.uint8), 1).any()

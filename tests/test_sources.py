@@ -91,6 +91,44 @@ def test_extract(spark, tmp_path):
     assert [(r["id"], [tuple(m) for m in r["members"]], r["tags"]) for r in read("relations")] == relations
 
 
+def test_only_blocks_of_a_kind_are_read(spark, tmp_path):
+    path = str(tmp_path / "x.osm.pbf")
+    osmpbf.write(path, [(1, 5.0, 6.0, {})], [(10, [1], {})], [(100, [], {})])
+    for k, table in enumerate(("nodes", "ways", "relations")):
+        parts = osmpbf.OsmReader({"path": path, "table": table}).partitions()
+        assert len(parts) == 1
+        assert parts == osmpbf.OsmReader({"path": path, "table": "nodes"}).partitions() or k
+    blocks = [{"nodes"}] * 40 + [{"nodes", "ways"}] + [{"ways"}] * 3 + [{"relations"}] * 2
+    asked = []
+    kinds = lambda i: asked.append(i) or blocks[i]
+    assert [osmpbf.stretch(46, kinds, t) for t in ("nodes", "ways", "relations")] == [(0, 41), (40, 44), (44, 46)]
+    assert len(set(asked)) < 20
+    assert osmpbf.stretch(3, lambda i: set(), "ways") == (0, 3) and osmpbf.stretch(0, kinds, "ways") == (0, 0)
+
+
+def test_nodes_off_the_earth_are_refused(spark, tmp_path):
+    path = str(tmp_path / "x.osm.pbf")
+    for lat, lon in ((91.0, 0.0), (-90.5, 0.0), (0.0, 181.0)):
+        osmpbf.write(path, [(1, 5.0, 6.0, {}), (2, lat, lon, {})], [], [])
+        reader = osmpbf.OsmReader({"path": path, "table": "nodes"})
+        with pytest.raises(wire.Malformed):
+            [list(reader.read(p)) for p in reader.partitions()]
+
+
+def test_region_files(spark, tmp_path):
+    ring = [(55.0, 9.0), (55.0, 10.0), (56.0, 10.0)]
+    good = areas.encode([{"name": "A", "kind": "8", "parts": [[ring]]}], "src", "credit", 5, (8,))
+    for name, b in (("derived-dk.osmb", good), ("derived-no.osmb", good[:30]), ("derived-.osmb", good), ("other.txt", good)):
+        (tmp_path / name).write_bytes(b)
+    got = areas.read_regions(spark, str(tmp_path), "derived-", ".osmb").collect()
+    assert [(r["region"], r["name"], len(r["parts"])) for r in got] == [("dk", "A", 1)]
+    have = lambda folder, *layers: areas.available(spark, str(folder), list(layers), "derived-", ".osmb")
+    assert have(tmp_path, "a.json") and not have(tmp_path / "none", "a.json")
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.json").write_text("{}")
+    assert have(tmp_path / "b", "x.json") and not have(tmp_path / "b", "x.json", "y.json")
+
+
 def test_unknown_features_are_refused():
     with pytest.raises(wire.Malformed):
         osmpbf.check_header(wire.field(4, b"HistoricalInformation"))

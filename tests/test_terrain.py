@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from terrane.operators import terrain
 
 
@@ -30,3 +32,13 @@ def test_credit(spark):
     ids = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (1, 3, "glo30"), (1, 4, "zz")], "view_id int, pos int, source string")
     who = spark.createDataFrame([("a", "", "Survey  One", "CC"), ("b", "x", "Survey One", "CC"), ("c", "Named", None, "")], "source string, name string, producer string, license string")
     assert terrain.credit(ids, who, "view_id", {"glo30": "as the licence says"}).first()["credit"] == "Elevation: Survey One (CC); Named; as the licence says; zz"
+
+
+def test_a_folder_of_archives(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        (tmp_path / "x.txt").write_text("")
+        terrain.read_folder(spark, str(tmp_path))
+    for name in ("planet.pmtiles", "coverage.pmtiles", "6-33-20.pmtiles", "2-9-0.pmtiles", "readme.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    got = terrain.locate(spark, str(tmp_path)).collect()
+    assert {(r["kind"], r["url"].split("/")[-1], r["z"], r["x"], r["y"]) for r in got} == {("global", "planet.pmtiles", None, None, None), ("coverage", "coverage.pmtiles", None, None, None), ("region", "6-33-20.pmtiles", 6, 33, 20)}
