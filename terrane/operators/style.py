@@ -164,24 +164,24 @@ def extra_features(places: DataFrame, tiles: DataFrame) -> DataFrame:
 
 #: Contrast that a palette must keep (fixed values): the map's inks are quiet, what is drawn on them reads, two of them differ.
 QUIET, OVER, LETTERS, GAP, APART, CHROMA = 4.5, 3.0, 4.5, 3.0, 6.0, 32.0
+#: Whose contrast with whom has which least and most, and the fault's name.
+CONTRASTS = [("context", "background", None, QUIET, "loud"), ("overlay", "underfoot", OVER, None, "lost"), ("label", "background", LETTERS, None, "unreadable"), ("label", "road", LETTERS, None, "unreadable"), ("gap", "background", GAP, None, "gap unseen"), ("distinct", "distinct", None, None, "alike")]
 
 
 def contrast_faults(inks: DataFrame, by: str = "palette") -> DataFrame:
     """inks (palette, name, roles, r, g, b, edge) to every fault of each palette: (palette, fault, name, other, value).  roles are of
     background, context, underfoot, overlay, distinct, label, road, gap; shaded ground is inks of its own.  Inks of one edge are a
-    line and its border, which need not differ.  Pairs are joined within a palette, which holds tens of inks."""
-    own = inks.withColumns({"l": F.array(*colour.lab(F.col("r"), F.col("g"), F.col("b"))), "y": colour.luminance(F.col("r"), F.col("g"), F.col("b"))})
-    own = own.withColumn("__c", F.hypot(F.get("l", 1), F.get("l", 2)))
-    rows = own.withColumn("role", F.explode("roles"))
-    side = lambda role, p: rows.where(F.col("role") == role).select(by, *(F.col(c).alias(f"{p}_{c}") for c in ("name", "y", "l", "edge")))
-    ratio = (F.greatest("a_y", "b_y") + 0.05) / (F.least("a_y", "b_y") + 0.05)
-
-    def against(a: str, b: str, fault: str, bad) -> DataFrame:
-        return side(a, "a").join(side(b, "b"), by).withColumn("value", ratio).where(bad(F.col("value"))).select(by, F.lit(fault).alias("fault"), F.col("a_name").alias("name"), F.col("b_name").alias("other"), "value")
-
-    pairs = side("distinct", "a").join(side("distinct", "b"), by).where("a_name < b_name and not coalesce(a_edge = b_edge, false)")
-    alike = colour.with_difference(pairs, "value", *(tuple(F.get(c, i) for i in range(3)) for c in ("a_l", "b_l"))).where(F.col("value") < APART).select(by, F.lit("alike").alias("fault"), F.col("a_name").alias("name"), F.col("b_name").alias("other"), "value")
-    bright = rows.where("role = 'context'").where(F.col("__c") > CHROMA).select(by, F.lit("saturated").alias("fault"), "name", F.lit(None).cast("string").alias("other"), F.col("__c").alias("value"))
-    out = against("context", "background", "loud", lambda v: v > QUIET).unionByName(against("overlay", "underfoot", "lost", lambda v: v < OVER))
-    out = out.unionByName(against("label", "background", "unreadable", lambda v: v < LETTERS)).unionByName(against("label", "road", "unreadable", lambda v: v < LETTERS))
-    return out.unionByName(against("gap", "background", "gap unseen", lambda v: v < GAP)).unionByName(alike).unionByName(bright)
+    line and its border, which need not differ.  One equi-join on palette and role; a palette holds tens of inks."""
+    own = inks.withColumns({"__l": F.array(*colour.lab(F.col("r"), F.col("g"), F.col("b"))), "__y": colour.luminance(F.col("r"), F.col("g"), F.col("b"))})
+    rules = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("role"), F.lit(low).cast("double").alias("low"), F.lit(high).cast("double").alias("high"), F.lit(fault).alias("fault")) for a, b, low, high, fault in CONTRASTS))
+    asked = own.withColumn("__r", F.explode(F.filter(rules, lambda x: F.array_contains("roles", x["a"])))).select(by, "__r.role", "__r.low", "__r.high", "__r.fault", "name", F.col("__y").alias("ay"), F.col("__l").alias("al"), F.col("edge").alias("ae"))
+    offered = own.select(by, F.explode("roles").alias("role"), F.col("name").alias("other"), F.col("__y").alias("by_"), F.col("__l").alias("bl"), F.col("edge").alias("be"))
+    met = asked.join(offered, [by, "role"])
+    ratio = (F.greatest("ay", "by_") + 0.05) / (F.least("ay", "by_") + 0.05)
+    faults = met.withColumn("value", ratio).where("fault <> 'alike' and (value < low or value > high)").select(by, "fault", "name", "other", "value")
+    pairs = met.where("fault = 'alike' and name < other and not coalesce(ae = be, false)")
+    # a plain filter would be pushed below the steps of the formula, and hold it as one huge expression
+    only = lambda df, test: df.withColumn("value", F.explode(F.filter(F.array("value"), test)))
+    alike = only(colour.with_difference(pairs, "value", *(tuple(F.get(c, i) for i in range(3)) for c in ("al", "bl"))), lambda v: v < APART)
+    bright = only(own.where(F.array_contains("roles", "context")).withColumn("value", F.hypot(F.get("__l", 1), F.get("__l", 2))), lambda v: v > CHROMA)
+    return faults.unionByName(alike.select(by, "fault", "name", "other", "value")).unionByName(bright.select(by, F.lit("saturated").alias("fault"), "name", F.lit(None).cast("string").alias("other"), "value"))
