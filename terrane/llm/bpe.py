@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common as C
+
 #: Marks that close a word; after a letter or number a run of them is a piece of its own.
 MARKS = ".,;:!?)]}*%#&$\"'"
 #: Words that a worker keeps, and bytes of text to a call.
@@ -105,9 +107,10 @@ class Encoder:
                 first, size = i + 1, 0
 
 
+@C.kept
 @cache
 def encoder(path: str) -> Encoder:
-    """One for each worker process and vocabulary."""
+    """One for each worker process and vocabulary, until another operator's task enters."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

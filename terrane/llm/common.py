@@ -131,6 +131,24 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Cached functions whose results a worker keeps from task to task.
+_KEPT: list = []
+
+
+def kept(cached):
+    """A cached function that `enter` knows."""
+    _KEPT.append(cached)
+    return cached
+
+
+def enter(*own) -> None:
+    """Begin a task: what tasks of other operators left in this worker goes; own: the cached functions that stay filled."""
+    for f in _KEPT:
+        if f not in own:
+            f.cache_clear()
+    release()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finalizer (the constants are splitmix64's)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -81,6 +81,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 def _describe(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.enter()
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 some = batch.slice(at, 250)

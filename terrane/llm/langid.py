@@ -50,6 +50,7 @@ def _joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.enter()
         for batch in batches:
             langs = np.array(batch["lang"].to_pylist(), object)
             for lang in sorted(set(langs)):
@@ -118,6 +119,7 @@ def fit(df: DataFrame, order: int = 4, sample_docs: int = 500, id_col: str = "do
 
 def _score(model: Model, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.enter()
         for batch in batches:
             for some in _slices(batch):
                 data, starts = _joined(some["__text"])

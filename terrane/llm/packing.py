@@ -28,8 +28,10 @@ PIECES = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, s
 
 def _tokenize(path: str, closing: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.enter(encoder)
         enc, part, before = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
+            C.release()
             for at in range(0, batch.num_rows, 2500):
                 some = batch.slice(at, 2500)
                 ids = [np.append(x, enc.dtype.type(closing)) for x in enc.encode(some["text"])]

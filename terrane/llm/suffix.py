@@ -46,6 +46,7 @@ _ODD = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D))
 _TABLE = [C.mix(np.arange(256, dtype=np.uint64) + np.uint64(1000 * s + 1)) for s in (1, 2)]
 
 
+@C.kept
 @lru_cache(4)
 def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     base = int(_ODD[which])
@@ -131,6 +132,7 @@ def _anchor_rows(length: int, gram: int, code: bool = False):
     reach, unit = length - gram, WORD if code else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.enter(_powers)
         for batch in _code(batches) if code else batches:
             C.release()
             raw, held, size = [t.as_buffer() for t in batch["text"]], [], 0

@@ -125,3 +125,24 @@ def test_edges(spark, edge, nothing, tmp_path):
         stage(spark, now, SF).write.parquet(str(tmp_path / f"e{name}"))
         now = spark.read.parquet(str(tmp_path / f"e{name}"))
     assert now.count() == 0
+
+
+def test_tasks_give_up_what_other_operators_kept(monkeypatch):
+    """Spark keeps a worker for later tasks, and an executor holds it beside its heap."""
+    from types import SimpleNamespace
+
+    from terrane.llm import bpe, jaccard, langid, packing, suffix
+    from terrane.llm.queries import vocabulary
+
+    filled = lambda f: f.cache_info().currsize > 0
+    tokens = packing._tokenize(vocabulary(), 1)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    for task in (langid._count(4), langid._score(None, 4), jaccard._describe(5), suffix._anchor_rows(400, 200), suffix._anchor_rows(204, 100, True)):
+        list(tokens(iter([])))
+        assert filled(bpe.encoder)
+        list(task(iter([])))
+        assert not filled(bpe.encoder)
+    suffix._powers(0, 1 << 10)
+    mine = bpe.encoder(vocabulary())
+    list(tokens(iter([])))
+    assert not filled(suffix._powers) and bpe.encoder(vocabulary()) is mine  # its own words stay
